@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.
     if n == 0:
         return
     arr = batch.column(batch.schema.get_field_index(column))
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_numpy(zero_copy_only=False), np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False), np.int64)
     ends = np.cumsum(size)
     start = 0
     while start < n:

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import byte_slices
@@ -83,8 +84,8 @@ def token_counts(
             for part in byte_slices(whole, "text", batch_bytes):
                 texts = part.column(1).to_pylist()
                 lengths = np.fromiter((count_tokens(enc, t, piece_chars) for t in texts), np.int64, len(texts))
-                n_bytes = pa.compute.fill_null(pa.compute.binary_length(part.column(1)), 0).cast(pa.int64())
-                n_chars = pa.compute.fill_null(pa.compute.utf8_length(part.column(1)), 0).cast(pa.int64())
+                n_bytes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                n_chars = pc.fill_null(pc.utf8_length(part.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lengths), n_bytes, n_chars], ["id", "n_tokens", "n_bytes", "n_chars"]
                 )
