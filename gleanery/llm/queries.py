@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as _decon
 from . import near_dedup as _near
 from . import token_counts as _tokens
 from . import toxicity as _toxicity
@@ -16,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decon.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
