@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decon
+from . import mixing as _mixing
 from . import near_dedup as _near
+from . import sharding as _sharding
 from . import token_counts as _tokens
 from . import toxicity as _toxicity
+from . import url_reputation as _urls
 from .common import table
 
 
@@ -25,6 +28,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = _toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -35,7 +50,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_sharding": op5_sharding,
+    "op6_url_reputation": op6_url_reputation,
+    "op7_mixing": op7_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_reputation": _urls.ORACLE,
+    "op7_mixing": _mixing.ORACLE,
+}
