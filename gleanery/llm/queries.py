@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decon
+from . import divergence as _divergence
 from . import mixing as _mixing
 from . import near_dedup as _near
 from . import sharding as _sharding
@@ -16,6 +17,10 @@ from . import url_reputation as _urls
 from .common import table
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence": op1_divergence,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_divergence": _divergence.oracle(),
     "op6_url_reputation": _urls.ORACLE,
     "op7_mixing": _mixing.ORACLE,
 }
