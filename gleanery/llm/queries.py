@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decon
 from . import divergence as _divergence
+from . import langid as _langid
 from . import mixing as _mixing
 from . import near_dedup as _near
 from . import sharding as _sharding
 from . import token_counts as _tokens
 from . import toxicity as _toxicity
 from . import url_reputation as _urls
-from .common import table
+from . import warc as _warc
+from .common import materialise, shared_dir, table
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +47,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as monolithic WARC files, normalised, and read back by offset."""
+    return _warc.pages_through_warc(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"), materialise=materialise)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _langid.identify(docs, _langid.train(docs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, each with all its significant passages."""
     docs = table(spark, sf_dir, "documents")
     model = _toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _toxicity.detect(docs, model)
+    return _toxicity.detect(docs, model).where("toxic")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -59,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_url_reputation": op6_url_reputation,
     "op7_mixing": op7_mixing,
+    "op8_warc_normaliser": op8_warc_normaliser,
+    "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -66,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op1_divergence": _divergence.oracle(),
     "op6_url_reputation": _urls.ORACLE,
     "op7_mixing": _mixing.ORACLE,
+    "op8_warc_normaliser": _warc.ORACLE,
 }
