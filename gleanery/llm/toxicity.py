@@ -17,10 +17,13 @@ one table look-up per token.
 
 Calibration.  For such scores the maximum over n random tokens follows an
 extreme-value law P(S >= x) = 1 - exp(-K n e^(-lambda x)) (Karlin and Altschul
-1990).  lambda solves sum p e^(lambda s) = 1 over the token frequencies of the
-non-toxic training text (smoothed, so that positive scores occur), and K is its
-maximum-likelihood value given lambda on those documents' maxima, where maxima
-of zero count as censored.  K is at most 1.  A segment is
+1990).  lambda solves sum p e^(lambda s) = 1 over the token frequencies of
+non-toxic text (smoothed, so that positive scores occur), and K is its
+maximum-likelihood value given lambda on the upper half of such documents'
+positive maxima, lower ones being censored; K is at most 1.  Tokens are chosen for being rare in
+the non-toxic texts that they were counted in, so these would look too clean:
+the labelled sample is halved, and each half is scored by the tokens of the
+other.  Where a half gives no tokens, K is 1.  A segment is
 significant when its expected number of equals in a document of that length is
 at most ``max_evalue``.  A document's segments are aggregated by their Poisson
 statistic into one p-value; at ``max_p`` or less the document is toxic.
@@ -170,62 +173,76 @@ def train(
         memo = WordHash()
         for whole in batches:
             for b in byte_slices(whole, "text", 4 << 20):
-                held: dict[tuple[int, str, int], None] = {}
-                for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held: dict[tuple[int, int, str, int], None] = {}
+                for fold, label, t in zip(*(c.to_pylist() for c in b.columns)):
                     toks = words(t)
                     h = np.zeros(len(toks) + 2, np.uint64)
                     h[1:-1] = hash_words(toks, memo)
                     ctx = mix64(h[:-2] * np.uint64(3) + h[2:]).view(np.int64).tolist()
-                    held.update(dict.fromkeys(zip([int(label > 0)] * len(toks), toks, ctx)))
-                ys, ws, cs = zip(*held) if held else ((), (), ())
+                    held.update(dict.fromkeys(zip([fold] * len(toks), [int(label > 0)] * len(toks), toks, ctx)))
+                fs, ys, ws, cs = zip(*held) if held else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ys, pa.int32()), pa.array(ws, pa.string()), pa.array(cs, pa.int64())], ["y", "w", "c"]
+                    [pa.array(fs, pa.int32()), pa.array(ys, pa.int32()), pa.array(ws, pa.string()), pa.array(cs, pa.int64())],
+                    ["fold", "y", "w", "c"],
                 )
 
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    fold = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)).cast("int").alias("fold")
     # The picked ids are at most max_labelled, so their hash table has a fixed size.
-    sample = materialise(src.join(F.broadcast(picked), "id").select("y", "text"), "toxicity-sample")
-    rows = (
-        sample.mapInArrow(contexts, "y int, w string, c bigint")
-        .distinct()
+    sample = materialise(src.join(F.broadcast(picked), "id").select(fold, "y", "text"), "toxicity-sample")
+    counted = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for y in (1, 0) for f in (0, 1)]
+    rows = materialise(
+        sample.mapInArrow(contexts, "fold int, y int, w string, c bigint")
+        .groupBy("y", "w", "c")
+        .agg(F.min("fold").alias("fold"))  # a context of both halves counts in one
         .groupBy("w")
-        .agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+        .agg(*counted),
+        "toxicity-counts",
     )
-    totals = rows.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count_if(F.col("n1") > 0).alias("v")).first()
-    rows = rows.where("n1 > 1").toPandas()
-    toxic = Counter(dict(zip(rows.w, rows.n1.astype(int))))
-    other = Counter(dict(zip(rows.w, rows.n0.astype(int))))
-    # What is left out counts in the totals, under a key that no token has.
-    toxic[""] = int(totals["n1"] or 0) - sum(toxic.values())
-    other[""] = int(totals["n0"] or 0) - sum(other.values())
-    scores = dirichlet_log_odds(+toxic, other, prior_share, min_z, cap)
-    scores = {w: s for w, s in scores.items() if w and s >= min_log_odds}
+    totals = rows.agg(*(F.sum(c).alias(c) for c in rows.columns[1:])).first().asDict()
+    kept = rows.where("n10 + n11 > 1").toPandas()
+    held = {c: Counter(dict(zip(kept.w, kept[c].astype(int)))) for c in kept.columns[1:]}
+    for c, n in totals.items():
+        # What is left out counts in the totals, under a key that no token has.
+        held[c][""] = int(n or 0) - sum(held[c].values())
+
+    def fit(folds: tuple[int, ...]) -> dict[str, float]:
+        toxic, other = (sum((held[f"n{y}{f}"] for f in folds), Counter()) for y in (1, 0))
+        found = dirichlet_log_odds(toxic, other, prior_share, min_z, cap)
+        return {w: x for w, x in found.items() if w and x >= min_log_odds}
+
+    scores, halves = fit((0, 1)), [fit((0,)), fit((1,))]
     if not scores:
-        drop_tables(docs.sparkSession, sample)
+        drop_tables(docs.sparkSession, sample, rows)
         return ToxicityModel({}, drift, 1.0, 1.0)
-    n0 = sum(other.values())
-    # Background frequencies; the listed tokens share one pseudo-count, so unseen ones occur too.
-    values = np.array([s - drift for s in scores.values()] + [-drift])
-    freq = np.array([(other.get(w, 0) + 1.0 / len(scores)) / (n0 + 1.0) for w in scores])
+    # Background frequencies of each half's tokens in the other half's texts; the
+    # tokens share one pseudo-count, so unseen ones occur too.
+    crossed = [(table_, held[f"n0{1 - f}"]) for f, table_ in enumerate(halves) if table_]
+    crossed = crossed if len(crossed) == 2 else [(scores, held["n00"] + held["n01"])]
+    values = np.array([x - drift for table_, _ in crossed for x in table_.values()] + [-drift])
+    freq = np.array([(seen.get(w, 0) + 1.0 / len(t)) / (sum(seen.values()) + 1.0) for t, seen in crossed for w in t]) / len(crossed)
     lam = solve_lambda(values, np.append(freq, 1.0 - freq.sum()))
-    draft = ToxicityModel(scores, drift, lam, 1.0)
-    least = float(values[:-1].min())
+    drafts = [ToxicityModel(t, drift, lam, 1.0) for t in reversed(halves)]  # by the half that is scored
 
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            above, weight = 0, 0.0
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n, top = [], []
+            for f, y, t in zip(*(c.to_pylist() for c in b.columns)):
                 toks = words(t)
                 if y == 0 and toks:
-                    top = max((s for _, _, s, _ in score_tokens(draft, toks)[0]), default=0.0)
-                    above += top > 0
-                    weight += len(toks) * math.exp(-lam * max(top, least))
-            yield pa.RecordBatch.from_arrays([pa.array([above], pa.int64()), pa.array([weight])], ["m", "s"])
-
-    got = sample.mapInArrow(maxima, "m bigint, s double").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).first()
-    drop_tables(docs.sparkSession, sample)
-    # Maxima of zero are censored below the least positive score.
-    k = ((got["m"] or 0) + 1) / got["s"] if got["s"] else 1.0
+                    n.append(len(toks))
+                    top.append(max((x for _, _, x, _ in score_tokens(drafts[f], toks)[0]), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(top, pa.float64())], ["n", "top"])
+
+    # One row a labelled document, so max_labelled at most.
+    got = sample.mapInArrow(maxima, "n bigint, top double").toPandas()
+    drop_tables(docs.sparkSession, sample, rows)
+    k, above = 1.0, got.top[got.top > 0]
+    if len(crossed) == 2 and len(above):
+        # The law is one of the tail: K is fitted above the median of the positive
+        # maxima, and lower ones count as censored there.
+        u = float(above.median())
+        k = (int((got.top >= u).sum()) + 1) / float((got.n * np.exp(-lam * np.maximum(got.top, u))).sum())
     return ToxicityModel(scores, drift, lam, min(1.0, k))
 
 
