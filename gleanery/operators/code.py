@@ -124,11 +124,11 @@ def package_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         else:
             versions = F.regexp_extract_all("text", F.lit(d.java), F.lit(2))
         needed = D.wanted(d, F.col("lowered"))
-        pairs = F.zip_with(names, versions, lambda n, v, k=d.name: F.struct(F.lit(k).alias("kind"), n.alias("package"), v.alias("version")))
-        none = F.array().cast("array<struct<kind:string,package:string,version:string>>")
-        entries.append(F.when(needed, F.array_distinct(pairs)).otherwise(none))
+        pairs = F.array_distinct(F.zip_with(names, versions, lambda n, v: F.struct(n.alias("package"), v.alias("version"))))
+        none = F.array().cast("array<struct<package:string,version:string>>")
+        entries.append(D.tagged(F.when(needed, pairs).otherwise(none), kind=d.name))
     out = D.prepared(docs, id_col, text_col).select("id", F.explode(F.flatten(F.array(*entries))).alias("f"))
-    return out.select("id", "f.kind", "f.package", "f.version")
+    return out.select("id", "f.kind", "f.value.package", "f.value.version")
 
 
 _MANIFEST = "name string, version string, license string, dependencies map<string,string>, devDependencies map<string,string>"

@@ -40,11 +40,16 @@ def matches(d: Detector, check: Check | None = None) -> Column:
     """Distinct matches in the prepared text, checked; empty where none can be."""
     found = T.extract(F.col("text"), d.java, d.group)
     if check is not None:
-        found = F.filter(found, check)
+        found = F.filter(found, lambda v: check(v))
     needed = wanted(d, F.col("lowered"))
     return found if needed is None else F.when(needed, found).otherwise(F.array().cast("array<string>"))
 
 
+def tagged(found: Column, **fields: str) -> Column:
+    """Entries of an array as structs of constant fields and the entry, ``value``."""
+    return F.transform(found, lambda v: F.struct(*(F.lit(x).alias(n) for n, x in fields.items()), v.alias("value")))
+
+
 def detect(
     docs: DataFrame,
     detectors: Sequence[Detector] = CORE,
@@ -60,10 +65,7 @@ def detect(
     columns are not read.
     """
     checks = CHECKS if checks is None else checks
-    entries = [
-        F.transform(matches(d, checks.get(d.name)), lambda v, n=d.name: F.struct(F.lit(n).alias("category"), v.alias("value")))
-        for d in detectors
-    ]
+    entries = [tagged(matches(d, checks.get(d.name)), category=d.name) for d in detectors]
     out = prepared(docs, id_col, text_col).select("id", F.explode(F.flatten(F.array(*entries))).alias("f"))
     return out.select("id", "f.category", "f.value")
 
@@ -91,11 +93,11 @@ def located(
         found = T.spans("text", d.java)
         if needed is not None:
             found = F.when(needed, found).otherwise(F.array().cast(T.SPAN_TYPE))
-        entries.append(F.transform(found, lambda s, n=d.name: F.struct(F.lit(n).alias("rule"), s.alias("span"))))
+        entries.append(tagged(found, rule=d.name))
     held = prepared(docs, id_col, text_col)
     out = held.select("id", "text", F.explode(F.flatten(F.array(*entries))).alias("f"))
     cols = ["id", "text"] if keep_text else ["id"]
-    return out.select(*cols, "f.rule", "f.span.value", "f.span.start", "f.span.line")
+    return out.select(*cols, "f.rule", "f.value.value", "f.value.start", "f.value.line")
 
 
 def smells(
