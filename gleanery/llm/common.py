@@ -128,5 +128,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("bigint")

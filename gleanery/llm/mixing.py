@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 UNIT = 1 << 20
 
 
@@ -70,32 +72,32 @@ def mix(
     sampled one by one.  An empty table stays empty.
     """
     names = docs.columns
-    number = copy_col or "copy"
-    while number in names:
-        number = "_" + number
+    number, b, rank, n_, src, b_, e_, start_ = unused(
+        names, copy_col or "copy", "__block", "__rank", "__n", "__source", "__b", "__e", "__start"
+    )
     per = expected_copies(docs, weights, total, source_col, size_col)
-    block = F.coalesce(F.pmod(F.col(id_col).cast("bigint"), F.lit(blocks)), F.lit(0)).alias("__block")
+    block = F.coalesce(F.pmod(F.col(id_col).try_cast("bigint"), F.lit(blocks)), F.lit(0))
     # One row for each source and block: sizes that grow with sources only.
-    sums = docs.groupBy(F.col(source_col).alias("source"), block).agg(F.count("*").alias("rows"))
-    sums = sums.join(per, sums["source"].eqNullSafe(per["source"])).select(sums["source"], "__block", "e", "rows")
-    before = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy(F.col(source_col).alias("source"), block.alias("block")).agg(F.count("*").alias("rows"))
+    sums = sums.join(per, sums["source"].eqNullSafe(per["source"])).select(sums["source"], "block", "e", "rows")
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     start = _hex_fraction(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source").cast("string"), F.lit("<null>"))))
     sums = sums.select(
-        F.col("source").alias("__source"),
-        F.col("__block").alias("__b"),
-        F.col("e").alias("__e"),
-        (start + F.coalesce(F.sum(F.col("e") * F.col("rows")).over(before), F.lit(0))).alias("__start"),
+        F.col("source").alias(src),
+        F.col("block").alias(b_),
+        F.col("e").alias(e_),
+        (start + F.coalesce(F.sum(F.col("e") * F.col("rows")).over(before), F.lit(0))).alias(start_),
     )
-    rows = docs.withColumn("__block", block)
+    rows = docs.withColumn(b, block)
     plain = [F.col(c) for c, t in docs.dtypes if not t.startswith("map") and c != id_col]
-    within = Window.partitionBy(source_col, "__block").orderBy(id_col, F.xxhash64(*plain) if plain else F.lit(0))
-    ranked = rows.withColumn("__rank", F.row_number().over(within))
-    joined = ranked.join(sums, ranked[source_col].eqNullSafe(sums["__source"]) & (ranked["__block"] == sums["__b"]))
+    within = Window.partitionBy(source_col, b).orderBy(id_col, F.xxhash64(*plain) if plain else F.lit(0))
+    ranked = rows.withColumn(rank, F.row_number().over(within))
+    joined = ranked.join(sums, ranked[source_col].eqNullSafe(sums[src]) & (ranked[b] == sums[b_]))
     integer = lambda c: F.shiftright(c.cast("bigint"), 20)
-    high = integer(F.col("__start") + F.col("__e") * F.col("__rank"))
-    low = integer(F.col("__start") + F.col("__e") * (F.col("__rank") - 1))
-    out = joined.withColumn("__n", (high - low).cast("int")).where("__n > 0")
-    out = out.withColumn(number, F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    high = integer(F.col(start_) + F.col(e_) * F.col(rank))
+    low = integer(F.col(start_) + F.col(e_) * (F.col(rank) - 1))
+    out = joined.withColumn(n_, (high - low).cast("int")).where(F.col(n_) > 0)
+    out = out.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n_))))
     return out.select(*names, *([number] if copy_col else []))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
     """A uniform permutation of range(n)."""
@@ -56,27 +58,24 @@ def shard(
     hashed as such.  Rows equal in all columns share a shard and are
     interchangeable.  An empty table stays empty.
     """
-    while shard_col in docs.columns:
-        shard_col = "_" + shard_col
-    while position_col in docs.columns:
-        position_col = "_" + position_col
+    shard_col, position_col, mark_col = unused(docs.columns, shard_col, position_col, "mark")
     n = bucket_count(docs, bucket_bytes)
     plain = [c for c, t in docs.dtypes if not t.startswith("map")]
     mark = F.xxhash64(*(docs[c] for c in plain), F.lit(seed))
     keyed = docs.withColumns(
-        {shard_col: F.pmod(F.xxhash64(docs[id_col], mark), F.lit(n)).cast("int"), "__mark": mark}
+        {shard_col: F.pmod(F.xxhash64(docs[id_col], mark), F.lit(n)).cast("int"), mark_col: mark}
     )
 
     def mix(bucket: pa.Table) -> pa.Table:
         number = bucket.column(shard_col)[0].as_py()
         ids = bucket.column(id_col)
-        keys = [bucket.column("__mark"), ids] if not pa.types.is_nested(ids.type) else [bucket.column("__mark")]
+        keys = [bucket.column(mark_col), ids] if not pa.types.is_nested(ids.type) else [bucket.column(mark_col)]
         fixed = pc.sort_indices(pa.table(keys, names=[f"k{i}" for i in range(len(keys))]), [(f"k{i}", "ascending") for i in range(len(keys))])
         order = fixed.take(pa.array(fisher_yates(len(fixed), seed * 1_000_003 + number)))
-        out = bucket.drop_columns(["__mark"]).take(order)
+        out = bucket.drop_columns([mark_col]).take(order)
         return out.append_column(position_col, pa.array(np.arange(len(order), dtype=np.int64)))
 
-    schema = keyed.drop("__mark").schema.add(position_col, T.LongType())
+    schema = keyed.drop(mark_col).schema.add(position_col, T.LongType())
     return keyed.groupBy(shard_col).applyInArrow(mix, schema)
 
 
