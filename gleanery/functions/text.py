@@ -96,7 +96,7 @@ def ipv4_valid(value: Column, strict: bool = True) -> Column:
 
 def base64_strict(value: Column) -> Column:
     """Whole groups of four with proper padding."""
-    return (F.length(value) % 4 == 0) & value.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return (F.length(value) % 4 == 0) & value.rlike(r"^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
 
 
 def base64_lenient(value: Column) -> Column:

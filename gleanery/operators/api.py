@@ -69,10 +69,10 @@ _HEADER_OPTION = rf"\s+(?:-H|--header)\s+{Q}{NQ}+{Q}"
 _BODY_OPTION = rf"\s+(?:-d|--data|-F)\s+{Q}.*?{Q}|\s+--data-raw\s+{Q}.+?{Q}"
 #: Name -> (expression, groups of verb, address, options, headers and body; 0 for none).
 REQUESTS: dict[str, tuple[str, tuple[int, int, int, int, int]]] = {
-    "curl": (rf"(?is)curl\s+(?:-X\s+)?{_VERB}\s+{Q}?{_ADDRESS}{Q}?((?:{_HEADER_OPTION}|{_BODY_OPTION})*)", (1, 2, 3, 0, 0)),
+    "curl": (rf"(?is)curl\s+(?:-X\s+)?{_VERB}\s+{Q}?{_ADDRESS}{Q}?((?:{_HEADER_OPTION}|{_BODY_OPTION})*+)", (1, 2, 3, 0, 0)),
     "script": (rf"(?is){alt('fetch', 'axios')}(?:\.[a-z]+)?\(\s*{Q}{_ADDRESS}{Q}(?:\s*,\s*\{{(.*?)\}})?\s*\)", (0, 1, 2, 0, 0)),
     "requests": (rf"(?is)requests\.{_VERB}\(\s*{Q}{_ADDRESS}{Q}(?:\s*,\s*(.*?))?\s*\)", (1, 2, 3, 0, 0)),
-    "raw": (rf"(?is){_VERB}\s+{_ADDRESS}\s+((?:[a-z0-9-]+:\s*[^\n]+\n)+)(?:\s*(\{{.*?\}}))?", (1, 2, 0, 3, 4)),
+    "raw": (rf"(?is){_VERB}\s+{_ADDRESS}\s+((?:[a-z0-9-]+:\s*[^\n]+\n)++)(?:\s*(\{{.*?\}}))?", (1, 2, 0, 3, 4)),
 }
 _OK = r"20[0124]|2\d{2}"
 SUCCESS = (

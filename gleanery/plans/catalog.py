@@ -28,6 +28,9 @@ class Detector:
     flags: str = "m"
     #: Uses look-around or back-references: Java and Python only.
     beyond_re2: bool = False
+    #: The same for Java, where a repeated group takes stack for every round: its
+    #: loops are possessive, so a long text can't overflow it.
+    stack_safe: str = ""
 
     @property
     def portable(self) -> str:
@@ -37,7 +40,7 @@ class Detector:
     @property
     def java(self) -> str:
         """Unicode classes, and only a newline ends a line."""
-        return f"(?Ud{self.flags}){self.regex}"
+        return f"(?Ud{self.flags}){self.stack_safe or self.regex}"
 
 
 def alt(*parts: str) -> str:
@@ -86,6 +89,13 @@ BCRYPT = rf"\$2[aby]\${D}{{2}}\$[./{A}]{{53}}"
 URL_REST = r"[^\s'\"]+"
 PARAM = r"=[^&\s]+"
 _TOKEN = "[A-Za-z0-9_=-]"
+LABEL = f"[{A}](?:[{A}-]{{0,61}}[{A}])?"
+
+
+def _looped(regex: str, needs: str, **more) -> tuple[str, str, dict]:
+    """Loops over groups that can't match in two ways: possessive ones are the same."""
+    return regex, needs, {**more, "stack_safe": regex.replace(")*", ")*+").replace(")+", ")++").replace("){5,}", "){5,}+")}
+
 
 CORE = _family(
     "core",
@@ -94,7 +104,10 @@ CORE = _family(
         "ipv4": rf"\b(?:{D}{{1,3}}\.){{3}}{D}{{1,3}}\b",
         "ipv6": _on(rf"\b(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}\b", ":"),
         "email": _on(rf"\b[{A}%+._-]+@[{A}.-]+\.[A-Z|a-z]{{2,}}\b", "@"),
-        "domain_keywords": _on(rf"\b(?:[{A}](?:[{A}-]{{0,61}}[{A}])?\.)+[A-Za-z]{{2,}}\b", "."),
+        # A name has 127 labels at most.
+        "domain_keywords": _on(
+            rf"\b(?:{LABEL}\.)+[A-Za-z]{{2,}}\b", ".", stack_safe=rf"\b(?:{LABEL}\.){{1,127}}[A-Za-z]{{2,}}\b"
+        ),
         "url": _on(rf"https?://(?:www\.)?[{A}@:%._+~#=-]{{1,256}}\.[{A}()]{{1,6}}\b[{A}()@:%_+.~#?&/=-]*", "http"),
         "hash": rf"\b{alt(*(HEX + '{%d}' % n for n in (32, 40, 64, 96, 128)), BCRYPT)}\b",
         "api_key": _on(keyed("api[_-]?key", "secret"), "key secret"),
@@ -123,7 +136,7 @@ CORE = _family(
         ),
         "api_method": _on(rf"(?i)(?:{Q}|\b){alt(*VERBS)}(?:{Q}|\b)", " ".join(VERBS).lower()),
         "content_type": _on(keyed("content-type"), "content-type"),
-        "api_version": _on(rf"(?i){alt(rf'v{D}+(?:[.]{D}+)*', rf'\bversion[=:]{WS}{Q}({NQ}+){Q}')}", "v"),
+        "api_version": _looped(rf"(?i){alt(rf'v{D}+(?:[.]{D}+)*', rf'\bversion[=:]{WS}{Q}({NQ}+){Q}')}", "v"),
         "api_parameter": _on(rf"(?i)[&?][^\s=]+{PARAM}", "="),
         "authorization_header": _on(keyed("authorization", "auth"), "auth"),
         "rate_limit": _on(rf"(?i){alt('rate[_-]?limit', 'x-rate-limit')}[=:]{WS}{Q}?({D}+){Q}?", "rate"),
@@ -136,7 +149,7 @@ CORE = _family(
         "openapi_schema": _on(rf"(?i){alt(rf'\"openapi\"{WS}:{WS}\"[^\"]*', rf'swagger{WS}:{WS}\"[^\"]*')}", "openapi swagger"),
         "graphql_query": _on("(?i)" + block("query", "mutation"), "query mutation"),
         "graphql_schema": _on("(?i)" + block("type", "input", "interface"), "type input interface"),
-        "rest_resource": _on(rf"(?i)/[{A}_-]+(?:/\{{[{A}_-]+\}})?(?:/[{A}_-]+)*", "/"),
+        "rest_resource": _looped(rf"(?i)/[{A}_-]+(?:/\{{[{A}_-]+\}})?(?:/[{A}_-]+)*", "/"),
         "xml_response": _on(rf"(?i){alt(r'<\?xml[^>]+>', rf'<[{A}_:]+\s+xmlns')}", "<?xml xmlns"),
         "error_pattern": _on(
             rf"(?i){alt(rf'\"error\"{WS}:{WS}\{{', rf'\"errors\"{WS}:{WS}\[', '<errors?>')}", "error"
@@ -151,7 +164,7 @@ CORE = _family(
         "request_body_json": _on(rf"(?i){alt('body', 'data')}{WS}:{WS}\{{[^}}]*\}}", "body data"),
         "form_data": _on(f"(?i){alt('formdata', 'multipart/form-data', 'application/x-www-form-urlencoded')}", "form"),
         "path_parameter": _on(rf"(?i)\{{[{A}_-]+\}}", "{"),
-        "query_parameter": _on(rf"(?i)\?[{A}_-]+{PARAM}(?:&[{A}_-]+{PARAM})*", "?"),
+        "query_parameter": _looped(rf"(?i)\?[{A}_-]+{PARAM}(?:&[{A}_-]+{PARAM})*", "?"),
         "webhook_event": _on(rf"(?i){alt(rf'\"event\"{WS}:{WS}\"[^\"]+\"', f'event{PARAM}')}", "event"),
         "pagination": _on(rf"(?i){alt('page', 'limit', 'offset', 'per_page')}={D}+", "page= limit= offset="),
         "rate_limit_header": _on(f"(?i)x-ratelimit-{alt('limit', 'remaining', 'reset')}", "x-ratelimit-"),
@@ -454,6 +467,12 @@ def _nested(a: str, b: str) -> str:
     return rf"{a}[^{b}]*(?:{a}[^{b}]*{b}[^{b}]*){{5,}}"
 
 
+def _nested_safe(a: str, b: str) -> str:
+    """The same: five stretches up to a closing bracket that hold an opening one, and a rest."""
+    step = rf"[^{a}{b}]*+{a}[^{b}]*+{b}"
+    return rf"{a}(?:{step}){{5}}+[^{b}]*+"
+
+
 COMPLEXITY = _family(
     "complexity",
     "m",
@@ -463,14 +482,16 @@ COMPLEXITY = _family(
             r"function\s+\w+\s*\([^)]*\)\s*\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", "function", beyond_re2=True
         ),
         "nested_callbacks": _on(f"{_CB}.*{_CB}", ".then"),
-        "deep_nesting": _on(r"(?:\{[^{}]*){5,}", "{"),
+        "deep_nesting": _looped(r"(?:\{[^{}]*){5,}", "{"),
         "long_line": r".{120,}",
-        "large_object": _on(_nested(r"\{", r"\}"), "{"),
-        "multiple_returns": _on(r"(?:return[^;]*;.*){4,}", "return"),
-        "large_array": _on(_nested(r"\[", r"\]"), "["),
+        "large_object": _on(_nested(r"\{", r"\}"), "{", stack_safe=_nested_safe(r"\{", r"\}")),
+        "multiple_returns": _on(
+            r"(?:return[^;]*;.*){4,}", "return", stack_safe=r"(?:return[^;]*+;(?:(?!return[^;]*+;).)*+){4,}+.*"
+        ),
+        "large_array": _on(_nested(r"\[", r"\]"), "[", stack_safe=_nested_safe(r"\[", r"\]")),
         "many_parameters": _on(r"function\s+\w+\s*\([^)]{80,}\)", "function"),
         "complex_regex": _on(r"/(?=(?:\\.|[^\\/]){40})[^\\/]*+(?:\\.[^\\/]*+)*+/", "/", beyond_re2=True),
-        "complex_ternary": _on(r"\?[^:?]*(?:\?[^:?]*:[^:?]*)+:", "?"),
+        "complex_ternary": _looped(r"\?[^:?]*(?:\?[^:?]*:[^:?]*)+:", "?"),
     },
 )
 _URL_ARG = f"{T}({NT}+){T}"

@@ -1,0 +1,247 @@
+"""Detectors, functions, sources, sinks and streams on small texts."""
+
+from __future__ import annotations
+
+import json
+import re
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery import engine
+from gleanery.functions import text as T
+from gleanery.operators import api, code, network
+from gleanery.operators import detect as D
+from gleanery.operators import rollup as R
+from gleanery.operators.python_ast import inspect
+from gleanery.plans import catalog as C
+from gleanery.plans.probes import SNIPPETS
+from gleanery.sources import files, sinks
+from gleanery.streaming import stream
+
+ALL = [d for ds in C.FAMILIES.values() for d in ds]
+
+
+def texts(spark, values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id int, text string")
+
+
+def column(spark, fn, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v string")
+    return [r[0] for r in df.orderBy("k").select(fn(F.col("v"))).collect()]
+
+
+@pytest.mark.parametrize("family", sorted(C.FAMILIES))
+def test_finds_what_python_finds(spark, family):
+    """Values of all matches against ``re.finditer``; nearly every rule has a hit."""
+    samples = [s.replace("{n}", str(i)).replace("{h}", "5f4dcc3b5aa765d61d8327deb882cf99") for i, s in enumerate(SNIPPETS)]
+    samples += ["x" * 130, "SGVsbG8gV29ybGQhIFRoaXMgaXMgYSB0ZXN0IHN0cmluZyB4"]
+    detectors = C.FAMILIES[family]
+    rows = D.detect(texts(spark, samples), detectors, checks={}).collect()
+    want = set()
+    for d in detectors:
+        rx = re.compile(d.portable)
+        want |= {(i, d.name, m.group(d.group)) for i, s in enumerate(samples) for m in rx.finditer(s) if d.group == 0 or m.group(d.group) is not None}
+    assert {tuple(r) for r in rows} == want
+    quiet = {d.name for d in detectors} - {n for _, n, _ in want}
+    assert len(quiet) <= (25 if family == "software_versions" else 4), quiet
+
+
+def test_needs_are_necessary():
+    """A text that a rule matches holds one of the literals it asks for."""
+    samples = [*SNIPPETS, *(s.upper() for s in SNIPPETS)]
+    for d in ALL:
+        for s in samples:
+            if d.needs and re.search(d.portable, s):
+                assert any(n in s.lower() for n in d.needs), (d.name, s)
+
+
+def test_places_equal_python(spark):
+    text = "a\nfoo@x.com b\n\nbar@y.org\n4111 1111 1111 1111 é foo@x.com"
+    found = D.located(texts(spark, [text, "", "no"]), [C.CORE_BY_NAME["email"], C.CORE_BY_NAME["credit_card"]]).collect()
+    want = {
+        (m.group(), m.start(), text[: m.start()].count("\n") + 1)
+        for n in ("email", "credit_card") for m in re.finditer(C.CORE_BY_NAME[n].portable, text)
+    }
+    assert {(r.value, r.start, r.line) for r in found} == want and len(found) == len(want)
+
+
+def test_nulls_empties_partitions(spark):
+    df = texts(spark, [None, "", "mail a@b.com", "mail a@b.com", "x" * 500_000 + " c@d.org"])
+    one = sorted(tuple(r) for r in D.detect(df.coalesce(1)).collect())
+    assert one == sorted(tuple(r) for r in D.detect(df.repartition(16)).collect())
+    assert [r for r in one if r[1] == "email"] == [(2, "email", "a@b.com"), (3, "email", "a@b.com"), (4, "email", "c@d.org")]
+    assert D.detect(df.where("false")).count() == 0
+
+
+def test_long_chains_don_t_overflow(spark):
+    long = ["a." * 20_000, "/a" * 20_000, "?a=1" + "&a=1" * 20_000, "v1" + ".1" * 20_000, "QUJD" * 20_000, "a: b\n" * 20_000]
+    assert D.detect(texts(spark, long)).count() > 0
+
+
+def test_validators(spark):
+    assert column(spark, T.ipv4_valid, ["1.2.3.4", "256.1.1.1", "01.2.3.4", "1.2.3", None]) == [True, False, False, False, False]
+    assert column(spark, lambda v: T.ipv4_valid(v, strict=False), ["01.2.3.4", "1.2.3.999"]) == [True, False]
+    assert column(spark, T.base64_strict, ["QUJD", "QUI=", "QQ==", "QUJDR", "=QUI"]) == [True, True, True, False, False]
+    assert column(spark, T.base64_lenient, ["QUJD", "QUJDR", "QUI"]) == [True, False, True]
+
+
+def test_entropy_and_hash_kinds(spark):
+    assert column(spark, lambda v: F.round(T.entropy(v), 5), ["aabbc", "", "aaaa", "éé日日"]) == [1.52193, 0.0, 0.0, 1.0]
+    values = ["5f4dcc3b5aa765d61d8327deb882cf99", "a" * 32, "aad3b435b51404eeaad3b435b51404ee", "a" * 40, "b" * 64, "c" * 96, "d" * 128, "$2a$10$" + "N" * 53, "0" * 16]
+    assert column(spark, T.hash_kind, values) == [
+        "MD5/NTLM", "NTLM/NTLM", "NTLM (Empty Password)", "SHA-1/MySQL5/RIPEMD-160", "SHA-256", "Unknown", "SHA-512", "BCrypt", "MySQL4",
+    ]
+
+
+def test_small_functions(spark):
+    assert column(spark, T.redact_header, ["Authorization: Bearer x", "X-Api-Key: 1", "Accept: a"]) == ["Authorization: [REDACTED]", "X-Api-Key: [REDACTED]", "Accept: a"]
+    assert column(spark, lambda v: T.shorten(v, 5), ["abcde", "abcdef"]) == ["abcde", "ab..."]
+    assert column(spark, lambda v: T.braces(v, 20), ['{"a":{"b":1}} x', "{ open", "{" + "x" * 30 + "}"]) == ['{"a":{"b":1}}', None, None]
+    assert column(spark, lambda v: T.version_at_least(v, F.lit("1.10")), ["1.9", "1.10.0", "2", "x"]) == [False, True, True, False]
+    assert column(spark, T.canonical_json, ['{"b": 1, "a": [1, 2]}', "no json"]) == ['{"a":[1,2],"b":1}', "no json"]
+    assert column(spark, T.label, ["api_key_param"]) == ["Api Key Param"]
+    assert column(spark, T.looks_binary, ["a\tb\n", "a\x00", "\x85"]) == [False, True, False]
+
+
+def test_network(spark):
+    text = "\nport: 3306\nhost = 'db.example.com'\nPORT=65536 port = 65535\nserver: \"8.8.8.8\" db.example.com 65535"
+    df = texts(spark, [text, "host='alone'"])
+    assert {r.port for r in network.ports(df).collect()} == {3306, 65535}
+    assert [(r.port, r.service) for r in network.sensitive_ports(df).collect()] == [(3306, "MySQL")]
+    assert {(r.host, r.outside) for r in network.hosts(df).collect()} == {("db.example.com", False), ("8.8.8.8", True), ("alone", False)}
+    assert {(r.host, r.port) for r in network.endpoints(df).collect()} == {(h, p) for h in ("db.example.com", "8.8.8.8") for p in (3306, 65535)}
+    assert network.findings(df).where("category = 'network_endpoints'").count() == 4
+
+
+def test_api(spark):
+    near = "GET /api/users/{id}?a=1 then POST /api/items" + " " * 300 + "DELETE /api/far"
+    rows = {r.endpoint: r for r in api.endpoint_structure(texts(spark, [near])).collect()}
+    assert rows["/api/items"].methods == ["GET", "POST"] and rows["/api/far"].methods == ["DELETE"]
+    assert "{id}" in rows["/api/users/{id}?a=1"].parameters
+    shell = "curl -X POST https://h.example.com/a -H 'Authorization: Bearer s' -d '{a: 1}'\nstatus: 200"
+    (r,) = api.request_examples(texts(spark, [shell, "curl https://h.example.com/ with no outcome"])).collect()
+    assert (r.method, r.url, r.headers, r.body) == ("POST", "https://h.example.com/a", ["Authorization: [REDACTED]"], "{a: 1}")
+    assert [r.version for r in api.openapi_version(texts(spark, ['{"openapi": "3.0.1"}', "x"])).collect()] == ["3.0.1"]
+    got = D.json_samples(texts(spark, ['{"success": true, "d": "' + "x" * 300 + '"}', '{"data": {"open": 1', '{"ok": 1}'])).collect()
+    assert {len(r.value) for r in got} == {200, 9}
+
+
+def test_packages(spark):
+    one = json.dumps({"name": "x", "dependencies": {"a": "1.0.0", "b": "^0.1.0"}, "devDependencies": {"a": "*", "c": ">=1"}})
+    rows = {(r.package, r.version, r.loose) for r in code.manifest(texts(spark, [one, "{broken dependencies"])).collect()}
+    assert rows == {("a", "*", True), ("b", "^0.1.0", True), ("c", ">=1", True)}
+    assert [r.value for r in code.manifest_labels(texts(spark, [one])).collect()] == ["Package name: x"]
+    lines = code.package_lines(texts(spark, ["<lib.version>1.2</lib.version> flask>=2.0"])).collect()
+    assert {(r.kind, r.package, r.version) for r in lines} == {
+        ("pom.xml", "lib.version", "1.2"), ("requirements.txt", "flask", "2.0"), ("requirements.txt", "version", "1.2"),
+    }
+
+
+def test_python_tree():
+    source = "import pickle\ndef f(password, key: str):\n    return eval(password)\ntoken = 'abcdef'\nopen('/etc/secret', 'w')\nimport subprocess\nsubprocess.run('x', shell=True)\nq = 'SELECT %s' % 1\n"
+    rules = {r[1] for r in inspect(source)}
+    assert rules == {
+        "dangerous import", "dangerous call", "sensitive parameter without type", "hardcoded value", "sensitive file",
+        "write to absolute path", "subprocess with shell", "SQL by formatting",
+    }
+    assert inspect("def (")[0][:2] == ("code_quality", "syntax error") and inspect("") == [] and inspect("x = 1\0")
+    branchy = "def g(x):\n" + "".join(f"    if x == {i}: pass\n" for i in range(12))
+    assert ("code_complexity", "high complexity", 1, "g 13") in inspect(branchy)
+
+
+def test_complexity(spark):
+    long = "function f(a) {\n" + "x;\n" * 120 + "}"
+    rows = code.complexity(texts(spark, [long, "function g() { }", "y" * 121, "{" * 20_000, "{}" * 20_000, "[]" * 20_000, "return 1;" * 20_000, "?a:b" * 20_000, "/" + "a" * 50 + "/"])).collect()
+    got = {(r.id, r.rule, r.amount) for r in rows}
+    assert (0, "complex_function", 122) in got and (2, "long_line", 121) in got and (8, "complex_regex", None) in got
+    assert not [g for g in got if g[0] == 1]
+
+
+def test_files_and_sinks(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.txt").write_text('password="topsecret99"\nmail a@b.com <script>\n')
+    (root / "sub/b.json").write_text('{"b": 1, "a": "10.0.0.1"}')
+    (root / "sub/c.py").write_text("import pickle\neval('x')\n")
+    (root / "d.bin").write_bytes(b"\x7fELF\x00\xff\xfe")
+    (root / "e").write_bytes(b"MZ\x90\xff")
+    (root / "big.log").write_text("x" * 5000)
+    docs = engine.scan(spark, folder=str(root), exclude=["*.log"])
+    by = {r.path.rsplit("/", 1)[1]: r for r in docs.collect()}
+    assert sorted(by) == ["a.txt", "b.json", "c.py", "d.bin", "e"]
+    assert by["b.json"].text == '{"a":"10.0.0.1","b":1}' and by["e"].file_type == "executable" and by["e"].text == "4d5a90ff"
+    assert by["d.bin"].is_binary and by["d.bin"].file_type == "executable"
+    assert engine.scan(spark, folder=str(root), include=["*.txt", "*.py"], max_files=1).count() == 1
+    assert engine.scan(spark, folder=str(root), max_mb=0.004).count() == 5
+    assert engine.scan(spark, [str(root / "a.txt"), str(root / "none")]).count() == 1
+    assert engine.scan(spark).count() == 0
+    raw = files.list_files(spark, folder=str(root))
+    assert files.metadata(raw).count() == 18 and files.local_stat(raw).where("mode is null").count() == 0
+
+    found = engine.analyse(docs).cache()
+    got = {(r.id.rsplit("/", 1)[1], r.category) for r in found.collect()}
+    assert {("a.txt", "password"), ("a.txt", "email"), ("b.json", "ipv4"), ("c.py", "security_smells")} <= got
+    sinks.write_csv(found, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert back.columns == ["category", "type", "value", "severity"] and back.where("severity = 'High'").count() > 0
+    sinks.write_json(found, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == found.select("id").distinct().count()
+    shown = sinks.console(found, markdown=True)
+    assert "topsecret99" not in shown and shown.startswith("```") and "Total findings:" in shown
+    html = sinks.page(found)
+    assert "<script>" not in html and "topsecret99" not in html
+    assert json.loads(sinks.to_plain_json(found))["email"] == ["a@b.com"]
+    assert sinks.output_name("/x/a.py", True, ".json") != sinks.output_name("/y/a.py", True, ".json")
+    assert files.read_config(str(tmp_path / "missing.json")) == {} and files.read_config(None) == {}
+
+
+def test_registry(spark):
+    docs = spark.createDataFrame([("a.py", "x", "text")], "path string, text string, file_type string")
+    r = engine.Registry()
+    assert r.run(docs).count() == 0
+    own = engine.Analyzer("own", lambda d: d.select(F.col("path").alias("id"), F.lit("c").alias("category"), F.lit("v").alias("value")), lambda: F.col("path").endswith(".py"))
+    r.register(own)
+    with pytest.raises(ValueError):
+        r.register(own)
+    assert r.names() == ["own"] and r.run(docs).count() == 1 and r.run(docs.where("false")).count() == 0
+    r.unregister("own")
+    assert r.names() == []
+
+
+def test_rollups(spark):
+    f = spark.createDataFrame(
+        [("a", "email", "x@y.zz"), ("a", "password", "p"), ("b", "email", "a@b.cc"), ("b", "file_metadata", "size: 1"), ("b", "api_key_param", "k")],
+        "id string, category string, value string",
+    )
+    assert R.totals(f).first().asDict() == {"all_findings": 5, "findings": 4, "categories": 4, "sources": 2}
+    assert [r.category for r in R.top_categories(f, 2).collect()] == ["email", "api_key_param"]
+    groups = {(r.display_group, r.category): r.findings for r in R.by_group(f).collect()}
+    assert groups["API & Keys", "api_key_param"] == groups["API Information", "api_key_param"] == 1 and groups[None, None] == 6
+    assert {r.category: r.severity for r in R.with_severity(f).collect()}["password"] == "High"
+    assert files_pair(spark) == ("size", "1: 2")
+
+
+def files_pair(spark):
+    r = spark.range(1).select(files.split_metadata(F.lit("size: 1: 2")).alias("s")).first().s
+    return r.key, r.value
+
+
+def test_streams(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    (folder / "a.txt").write_text("mail a@b.com")
+    q = (
+        stream.detect_stream(stream.file_stream(spark, str(folder))).writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(out))
+    )
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(out)).where("category = 'email'").count() == 1
+
+    rows = [(datetime(2024, 1, 1, h), f"f{h}", "mail a@b.com") for h in range(3)]
+    spark.createDataFrame(rows, "ts timestamp, path string, text string").write.parquet(str(tmp_path / "rows"))
+    live = spark.readStream.schema("ts timestamp, path string, text string").parquet(str(tmp_path / "rows"))
+    q = stream.distinct_findings(live, [C.CORE_BY_NAME["email"]], within="1 day").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("seen").count() == 1
