@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.catalog import BCRYPT, HASH_KINDS
+from ..plans.catalog import BCRYPT, HASH_KINDS, alt
 
 SPAN_TYPE = "array<struct<value:string,start:int,line:int>>"
 
@@ -130,9 +130,12 @@ def shorten(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most - 3)), F.lit("..."))).otherwise(c)
 
 
+SENSITIVE_HEADER = rf"(?i)(\b{alt('secret', 'token', 'authorization', 'api[_-]?key')}[^:]*:).*"
+
+
 def redact_header(header: Column) -> Column:
     """The value of a sensitive header replaced."""
-    return F.regexp_replace(header, r"(?i)(\b(?:authorization|api[-_]?key|token|secret)[^:]*:).*", "$1 [REDACTED]")
+    return F.regexp_replace(header, SENSITIVE_HEADER, "$1 [REDACTED]")
 
 
 def label(category: Column) -> Column:

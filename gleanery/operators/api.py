@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.catalog import CORE_BY_NAME, NQ, Q, URL_REST, VERBS, Detector, alt
+from ..plans.catalog import CORE_BY_NAME, IN_QUOTES, NQ, Q, URL_REST, VERBS, WS, Detector, alt
 from . import detect as D
 
 _ENDPOINT = CORE_BY_NAME["api_endpoint"]
@@ -37,7 +37,12 @@ def endpoint_structure(docs: DataFrame, *, around: int = 100, id_col: str = "doc
     )
 
 
-_OPENAPI = r'(?i)"swagger"\s*:\s*"([^"]+)"|"openapi"\s*:\s*"([^"]+)"'
+def stated(key: str, value: str) -> str:
+    """A JSON member."""
+    return f'"{key}"{WS}:{WS}{value}'
+
+
+_OPENAPI = "(?i)" + "|".join(stated(k, '"([^"]+)"') for k in ("swagger", "openapi"))
 
 
 def openapi_version(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,20 +77,23 @@ REQUESTS: dict[str, tuple[str, tuple[int, int, int, int, int]]] = {
     "curl": (rf"(?is)curl\s+(?:-X\s+)?{_VERB}\s+{Q}?{_ADDRESS}{Q}?((?:{_HEADER_OPTION}|{_BODY_OPTION})*+)", (1, 2, 3, 0, 0)),
     "script": (rf"(?is){alt('fetch', 'axios')}(?:\.[a-z]+)?\(\s*{Q}{_ADDRESS}{Q}(?:\s*,\s*\{{(.*?)\}})?\s*\)", (0, 1, 2, 0, 0)),
     "requests": (rf"(?is)requests\.{_VERB}\(\s*{Q}{_ADDRESS}{Q}(?:\s*,\s*(.*?))?\s*\)", (1, 2, 3, 0, 0)),
-    "raw": (rf"(?is){_VERB}\s+{_ADDRESS}\s+((?:[a-z0-9-]+:\s*[^\n]+\n)++)(?:\s*(\{{.*?\}}))?", (1, 2, 0, 3, 4)),
+    "raw": (rf"(?is){_VERB}\s+{_ADDRESS}\s+((?:[0-9a-z-]+:{WS}[^\n]+\n)++)(?:\s*(\{{.*?\}}))?", (1, 2, 0, 3, 4)),
 }
 _OK = r"20[0124]|2\d{2}"
-SUCCESS = (
-    rf"(?i)(?:status(?:_code)?|code)\s*(?:==?|:)\s*(?:{_OK})",
-    r'(?i)"status"\s*:\s*(?:20[01]|"success"|"ok")',
-    r'(?i)"(?:success|ok)"\s*:\s*(?:true|1)',
-    r'(?i)"message"\s*:\s*"[^"]*(?:success|succeeded)[^"]*"',
-    r'(?i)(?:(?://|#)\s*success|console\.log\("[^"]*success[^"]*"\))',
-    r'(?i)"data"\s*:\s*\{[^}]+\}(?![^}]*"error")',
-    r"(?i)assert(?:Equal)?\([^)]*(?:20[01]|true|success)[^)]*\)",
+SUCCESS = tuple(
+    "(?i)" + sign
+    for sign in (
+        alt("code", "status(?:_code)?") + WS + alt("==?", ":") + WS + alt(_OK),
+        stated("status", alt("20[01]", '"ok"', '"success"')),
+        stated(alt("ok", "success"), alt("1", "true")),
+        stated("message", f'"[^"]*{alt("succeeded", "success")}[^"]*"'),
+        alt(rf"{alt('#', '//')}{WS}success", rf'console\.log\("{IN_QUOTES}success{IN_QUOTES}"\)'),
+        stated("data", r'\{[^}]+\}(?![^}]*"error")'),
+        rf"assert(?:Equal)?\([^)]*{alt('success', 'true', '20[01]')}[^)]*\)",
+    )
 )
 _BODIES = (
-    rf"-d\s+{Q}(.+?){Q}", rf"--data\s+{Q}(.+?){Q}", rf"--data-raw\s+{Q}(.+?){Q}", r"body\s*:\s*(\{.+?\})", r"data\s*:\s*(\{.+?\})",
+    rf"-d\s+{Q}(.+?){Q}", rf"--data\s+{Q}(.+?){Q}", rf"--data-raw\s+{Q}(.+?){Q}", *(rf"{k}{WS}:{WS}(\{{.+?\}})" for k in ("body", "data")),
 )
 
 

@@ -89,7 +89,8 @@ def complexity(
     return found.where(~short & ~few).select("id", "rule", "line", "amount").distinct()
 
 
-DECISION = r"(?U)\b(?:if|else|for|while|do|switch|case|catch)\b"
+DECISIONS = ("case", "catch", "do", "else", "for", "if", "switch", "while")
+DECISION = rf"(?U)\b{alt(*DECISIONS)}\b"
 
 
 def size_measures(

@@ -15,7 +15,8 @@ A = "a-zA-Z0-9"
 D = r"\d"
 HEX = "[0-9a-fA-F]"
 VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD")
-WS = r"\s*"
+WS, GAP = r"\s*", r"\s+"
+IN_QUOTES = "[^\"]*"
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ CORE = _family(
     {
         "ipv4": rf"\b(?:{D}{{1,3}}\.){{3}}{D}{{1,3}}\b",
         "ipv6": _on(rf"\b(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}\b", ":"),
-        "email": _on(rf"\b[{A}%+._-]+@[{A}.-]+\.[A-Z|a-z]{{2,}}\b", "@"),
+        "email": _on(rf"\b[{A}%+._-]+@[{A}.-]+\.[|A-Za-z]{{2,}}\b", "@"),
         # A name has 127 labels at most.
         "domain_keywords": _on(
             rf"\b(?:{LABEL}\.)+[A-Za-z]{{2,}}\b", ".", stack_safe=rf"\b(?:{LABEL}\.){{1,127}}[A-Za-z]{{2,}}\b"
@@ -142,7 +143,7 @@ CORE = _family(
         "rate_limit": _on(rf"(?i){alt('rate[_-]?limit', 'x-rate-limit')}[=:]{WS}{Q}?({D}+){Q}?", "rate"),
         "api_key_param": _on(rf"(?i){alt('api_?key', 'key')}=([^\s&]+)", "key="),
         "curl_command": _on(
-            rf"(?i)curl\s+(?:-X\s+{alt(*VERBS)}\s+)?{Q}?https?://[^\s'\">]+", "curl"
+            rf"(?i)curl{GAP}(?:-X{GAP}{alt(*VERBS)}{GAP})?{Q}?https?://[^\s'\">]+", "curl"
         ),
         "webhook_url": _on(rf"(?i){alt('webhook', 'callback')}[=:]{WS}{Q}?https?://{URL_REST}{Q}?", "webhook callback"),
         "http_status_code": _on(rf"(?i){alt('status', 'code')}[=:]{WS}{Q}?({D}{{3}}){Q}?", "status code"),
@@ -182,7 +183,7 @@ _JSON_OK = alt(
 )
 _JSON_BAD = alt(
     rf"\{{{WS}\"{alt('errors?', 'status')}\"{WS}:{WS}{alt('false', *(f'\"{w}\"' for w in ('failed', 'error')), '0', r'\{')}",
-    rf"\{{{WS}\"message\"{WS}:{WS}\"[^\"]*error[^\"]*\"",
+    rf"\{{{WS}\"message\"{WS}:{WS}\"{IN_QUOTES}error{IN_QUOTES}\"",
 )
 JSON_STATUS = _family(
     "json_status",
@@ -199,7 +200,7 @@ HASH_KINDS = (
     ("BCrypt", None), ("RIPEMD-160", 40),
 )
 
-LOCAL = r"(?!localhost|127\.0\.0\.1)"
+LOCAL = "(?!" + "|".join((literal("127.0.0.1"), "localhost")) + ")"
 PYTHON = _family(
     "python",
     "",
@@ -219,7 +220,7 @@ _STORE = rf"localStorage[.]{call('setItem')}{WS}{T}{NQ}+{T}{WS},{WS}"
 _ON_MESSAGE = rf"window[.]{call('addEventListener')}{WS}{T}message{T}"
 _POST_ANY = rf"[.]{call('postMessage')}{WS}[^,]+,{WS}{Q}\*{Q}"
 _CRED = [assigned(n) for n in ("username", "password", "apiKey")]
-_REDOS = r"[^\\][*+.]\{\d+,\}|\(\.\*\)\+"
+_REDOS = "|".join((r"[^\\][*+.]\{" + D + r"+,\}", literal("(.*)+")))
 _PROTO = alt(r"Object\.assign", r"Object\.prototype\.", "__proto__", r"constructor\.prototype")
 _VALIDATE = alt(*(rf"\.{f}{WS}\({WS}\)" for f in ("validate", "isValid")))
 JAVASCRIPT = _family(
@@ -386,9 +387,10 @@ NETWORK_ISSUES = _family(
         "WebSockets Insecure": _on(_ci("ws://", rf"new\s+WebSocket\({Q}ws://"), "ws://"),
     },
 )
-_PORT = Detector("port", "network_configuration", rf"(?:^|\s)(?:PORT|port){WS}[=:]{WS}({D}+)", 1, ("port",), "")
+EDGE = r"(?:\s|^)"
+_PORT = Detector("port", "network_configuration", rf"{EDGE}{alt('port', 'PORT')}{WS}[=:]{WS}({D}+)", 1, ("port",), "")
 _HOST = Detector(
-    "host", "network_configuration", rf"(?:^|\s){alt('HOST', 'host', 'SERVER', 'server')}{WS}[=:]{WS}{Q}([\w.-]+){Q}", 1, ("host", "server"), ""
+    "host", "network_configuration", rf"{EDGE}{alt('HOST', 'host', 'SERVER', 'server')}{WS}[=:]{WS}{Q}([\w.-]+){Q}", 1, ("host", "server"), ""
 )
 NETWORK_CONFIG = (_PORT, _HOST)
 
@@ -406,7 +408,8 @@ SOFTWARE = tuple(
     )
     for p in _PRODUCTS
 )
-_SEMVER = r"([~^]?[0-9]+\.[0-9]+\.[0-9]+(?:-[.a-zA-Z0-9]+)?)"
+_N = "[0-9]+"
+_SEMVER = rf"([~^]?{_N}\.{_N}\.{_N}(?:-[.a-zA-Z0-9]+)?)"
 PACKAGES = _family(
     "package_files",
     "",
@@ -415,7 +418,7 @@ PACKAGES = _family(
         "requirements.txt": _on(rf"([\w-]+){alt('==?', '>=', '<=', '>', '<', '~=')}{_VERSION}", "= > <"),
         "composer.json": _on(rf'"([\w/-]+)":{WS}"{_SEMVER}"', '":'),
         "build.gradle": _on(rf"([\w-]+):{_VERSION}", ":"),
-        "pom.xml": _on(r"<([\w.-]+)>[0-9]+\.[0-9]+(?:\.[0-9]+)?</\1>", "</", beyond_re2=True),
+        "pom.xml": _on(rf"<([\w.-]+)>{_N}\.{_N}(?:\.{_N})?</\1>", "</", beyond_re2=True),
     },
 )
 
@@ -459,7 +462,10 @@ FRAMEWORKS = _family(
         "TypeScript": _on(alt(r"implements\s+", rf"interface\s+\w+{WS}\{{", rf"type\s+\w+{WS}=", r"as\s+\w+"), "implements interface type as"),
     },
 )
-_CB = r"\.then\s*\(\s*" + alt("function", r"\([^)]*\)\s*=>")
+PLAIN = "[^?:]*"
+RETURN = "return[^;]*;"
+ARGUMENTS = r"\([^)]*\)"
+_CB = rf"\.then{WS}\({WS}" + alt("function", rf"{ARGUMENTS}{WS}=>")
 
 
 def _nested(a: str, b: str) -> str:
@@ -479,19 +485,19 @@ COMPLEXITY = _family(
     {
         # Possessive loops: brackets up to three deep, without recursion in the matcher.
         "complex_function": _on(
-            r"function\s+\w+\s*\([^)]*\)\s*\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", "function", beyond_re2=True
+            rf"function{GAP}\w+{WS}{ARGUMENTS}{WS}" r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", "function", beyond_re2=True
         ),
         "nested_callbacks": _on(f"{_CB}.*{_CB}", ".then"),
-        "deep_nesting": _looped(r"(?:\{[^{}]*){5,}", "{"),
+        "deep_nesting": _looped("(?:" + r"\{[^{}]*" + "){5,}", "{"),
         "long_line": r".{120,}",
         "large_object": _on(_nested(r"\{", r"\}"), "{", stack_safe=_nested_safe(r"\{", r"\}")),
         "multiple_returns": _on(
-            r"(?:return[^;]*;.*){4,}", "return", stack_safe=r"(?:return[^;]*+;(?:(?!return[^;]*+;).)*+){4,}+.*"
+            "(?:" + RETURN + ".*){4,}", "return", stack_safe=r"(?:return[^;]*+;(?:(?!return[^;]*+;).)*+){4,}+.*"
         ),
         "large_array": _on(_nested(r"\[", r"\]"), "[", stack_safe=_nested_safe(r"\[", r"\]")),
-        "many_parameters": _on(r"function\s+\w+\s*\([^)]{80,}\)", "function"),
+        "many_parameters": _on(rf"function{GAP}\w+{WS}\(" r"[^)]{80,}\)", "function"),
         "complex_regex": _on(r"/(?=(?:\\.|[^\\/]){40})[^\\/]*+(?:\\.[^\\/]*+)*+/", "/", beyond_re2=True),
-        "complex_ternary": _looped(r"\?[^:?]*(?:\?[^:?]*:[^:?]*)+:", "?"),
+        "complex_ternary": _looped(rf"\?{PLAIN}(?:\?{PLAIN}:{PLAIN})+:", "?"),
     },
 )
 _URL_ARG = f"{T}({NT}+){T}"
@@ -517,11 +523,12 @@ FAMILIES: dict[str, tuple[Detector, ...]] = {
 
 CORE_BY_NAME = {d.name: d for d in CORE}
 
-SENSITIVE_PORTS = {
-    21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 445: "SMB", 1433: "MSSQL", 3306: "MySQL", 3389: "RDP",
-    5432: "PostgreSQL", 27017: "MongoDB",
-}
-SERVICES = SENSITIVE_PORTS | {53: "DNS", 80: "HTTP", 110: "POP3", 143: "IMAP", 443: "HTTPS", 6379: "Redis", 8080: "HTTP-Alternate"}
+def _ports(listed: str) -> dict[int, str]:
+    return {int(n): service for service, n in (x.split("=") for x in listed.split())}
+
+
+SENSITIVE_PORTS = _ports("FTP=21 MSSQL=1433 MongoDB=27017 MySQL=3306 PostgreSQL=5432 RDP=3389 SMB=445 SMTP=25 SSH=22 Telnet=23")
+SERVICES = SENSITIVE_PORTS | _ports("DNS=53 HTTP=80 HTTP-Alternate=8080 HTTPS=443 IMAP=143 POP3=110 Redis=6379")
 
 #: Display group -> its categories; one category may be in two groups.
 DISPLAY_GROUPS = {

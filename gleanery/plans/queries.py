@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- SQL builders -------------------------------------------------------------
+# == SQL builders
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 VALID = {
@@ -119,7 +119,7 @@ def case_sql(table_: dict[str, str], other: str) -> str:
     return f"CASE {whens} ELSE {quoted(other)} END"
 
 
-# ---- scans --------------------------------------------------------------------
+# == scans
 
 
 @query("findings_per_category", f"WITH {DOC_FINDINGS} SELECT category, count(*) AS findings FROM f GROUP BY category")
@@ -177,7 +177,7 @@ def api_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.styles(texts(spark, sf_dir), **ON)
 
 
-# ---- validators and scalar functions --------------------------------------------
+# == validators and scalar functions
 
 
 @query(
@@ -243,7 +243,7 @@ def high_entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "header_redaction",
     f"""WITH c AS (SELECT c_custkey AS id, ['Authorization: Bearer ', 'Accept: ', 'x-api-key: ', 'X-Token: ', 'Content-Length: '][1 + c_custkey % 5] || md5(c_name) AS header FROM customer)
-SELECT id, regexp_replace(header, '(?i)(\\b(?:authorization|api[-_]?key|token|secret)[^:]*:).*', '\\1 [REDACTED]') AS header FROM c""".replace("\\\\", "\\"),
+SELECT id, regexp_replace(header, {quoted(T.SENSITIVE_HEADER)}, '\\1 [REDACTED]') AS header FROM c""",
 )
 def header_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.array(*(F.lit(h) for h in ("Authorization: Bearer ", "Accept: ", "x-api-key: ", "X-Token: ", "Content-Length: ")))
@@ -278,7 +278,7 @@ def value_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 200).alias("shown"))
 
 
-# ---- rules with their place ------------------------------------------------------
+# == rules with their place
 
 _PLACED = [*portable(C.JAVA), *(d for d in portable(C.PYTHON) if d.name != "Hardcoded Secret")]
 
@@ -333,7 +333,7 @@ def complexity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "size_measures",
-    rf"""WITH {TEXTS}, m AS (SELECT id, len(regexp_extract_all(text, '\b(?:if|else|for|while|do|switch|case|catch)\b'))::INT AS decisions,
+    rf"""WITH {TEXTS}, m AS (SELECT id, len(regexp_extract_all(text, '\b{C.alt(*code.DECISIONS)}\b'))::INT AS decisions,
   (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS lines FROM (SELECT id, regexp_replace(text, '[^\x00-\x7f]', 'a', 'g') AS text FROM texts))
 SELECT *, decisions > 50 AS branching, lines > 1000 AS long FROM m""",
 )
@@ -389,7 +389,7 @@ def python_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_sources(snippets(table(spark, sf_dir, "customer")), **ON)
 
 
-# ---- network and API ---------------------------------------------------------------
+# == network and API
 
 _PORTS = f"ports AS (SELECT id, value, value::HUGEINT AS port FROM ({detect_sql([C._PORT])}) WHERE length(value) < 30 AND value::HUGEINT <= 65535)"
 _HOSTS = f"hosts AS (SELECT id, value AS host FROM ({detect_sql([C._HOST])}))"
@@ -463,7 +463,7 @@ def request_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.request_examples(texts(spark, sf_dir), **ON).withColumn("headers", F.array_join("headers", "\n"))
 
 
-# ---- rollups ------------------------------------------------------------------------
+# == rollups
 
 
 @query("total_findings", f"WITH {FINDINGS} SELECT count(*) AS all_findings, count(*) AS findings, count(DISTINCT category) AS categories, count(DISTINCT id) AS sources FROM f")
@@ -552,7 +552,7 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(D.detect(texts(spark, sf_dir), _LISTED, **ON))
 
 
-# ---- sources ---------------------------------------------------------------------------
+# == sources
 
 _SUFFIXES = ("", ".txt", ".JSON", ".html", ".svg", ".so", ".png", ".pdf", ".tgz.gz", ".unknown")
 _EXT_SQL = " ".join(f"WHEN ext IN ({', '.join(map(quoted, names.split()))}) THEN {quoted(kind)}" for kind, names in T.EXTENSIONS.items())
@@ -618,7 +618,7 @@ def file_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select_files(_page_files(spark, sf_dir), max_mb=None, max_files=25)
 
 
-# ---- windows -----------------------------------------------------------------------------
+# == windows
 
 
 @query(

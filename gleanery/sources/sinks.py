@@ -61,6 +61,10 @@ def masked(value: str) -> str:
     return value if len(value) <= 8 else value[:4] + "*" * (len(value) - 8) + value[-4:]
 
 
+def titled(category: str) -> str:
+    return " ".join(w.capitalize() for w in category.split("_"))
+
+
 def sample(findings: DataFrame, shown: int) -> list:
     """Rows (category, n, value) of the first ``shown`` values by length and text of each category."""
     distinct = findings.select("category", "value").distinct()
@@ -95,7 +99,7 @@ def console(
         for group, members in _grouped(rows, groups):
             lines.append(f"== {group} ==")
             for category, n, values in members:
-                lines.append(f"  {category.replace('_', ' ').title()} ({n}):")
+                lines.append(f"  {titled(category)} ({n}):")
                 hide = mask and category in MASKED
                 lines += [f"    - {masked(v) if hide else v}" for v in values]
                 if n > len(values):
@@ -114,7 +118,7 @@ def page(findings: DataFrame, *, shown: int = 200, mask: bool = True) -> str:
         for category, n, values in members:
             hide = mask and category in MASKED
             items = "".join(f"<li>{e(masked(v) if hide else v)}</li>" for v in values)
-            parts.append(f"<h3 class='{level.get(category, 'normal')}'>{e(category.replace('_', ' ').title())} ({n})</h3><ul>{items}</ul>")
+            parts.append(f"<h3 class='{level.get(category, 'normal')}'>{e(titled(category))} ({n})</h3><ul>{items}</ul>")
         parts.append("</details>")
     return "".join(parts) + "</body></html>"
 
