@@ -80,6 +80,7 @@ def references(docs: DataFrame, top_words: int) -> dict[str | None, tuple[np.nda
                     chars[lang] = chars.get(lang, 0) + class_counts(t)
                 rows = [(g, True, w, n) for g, c in words.items() for w, n in c.items()]
                 rows += [(g, False, str(k), int(n)) for g, v in chars.items() for k, n in enumerate(v)]
+                rows += [(g, False, "words", c.total()) for g, c in words.items()]
                 c = list(zip(*rows)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c[0], pa.string()), pa.array(c[1], pa.bool_()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64())],
@@ -88,19 +89,21 @@ def references(docs: DataFrame, top_words: int) -> dict[str | None, tuple[np.nda
 
     counted = docs.mapInArrow(count, "lang string, is_word boolean, item string, n bigint")
     counted = counted.groupBy("lang", "is_word", "item").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("lang", "is_word")
-    ranked = counted.withColumns(
-        {"total": F.sum("n").over(group), "rank": F.row_number().over(group.orderBy(F.desc("n"), "item"))}
-    ).where(F.col("rank") <= F.when(F.col("is_word"), top_words).otherwise(len(CLASSES)))
+    # A constant limit on the rank alone: each task keeps that many rows a language
+    # before the shuffle, so no task ever sees a language's whole vocabulary.
+    group = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "item")
+    ranked = counted.withColumn("rank", F.row_number().over(group)).where(F.col("rank") <= max(top_words, len(CLASSES) + 1))
     out = {}
     for lang, rows in ranked.toPandas().groupby("lang", dropna=False):
         lang = lang if isinstance(lang, str) else None
-        c, w = rows[~rows.is_word], rows[rows.is_word].sort_values("rank")
+        c, w = rows[~rows.is_word], rows[rows.is_word & (rows["rank"] <= top_words)].sort_values("rank")
+        total = c.loc[c["item"] == "words", "n"].sum()
+        c = c[c["item"] != "words"]
         chars = np.zeros(len(CLASSES))
         chars[c["item"].astype(int).to_numpy()] = c["n"].to_numpy()
         bins = np.zeros(len(w) + 1)
         bins[:-1] = w["n"].to_numpy()
-        bins[-1] = (w["total"].iloc[0] if len(w) else 0) - bins.sum()
+        bins[-1] = total - bins.sum()
         out[lang] = (chars, {x: k for k, x in enumerate(w["item"])}, bins)
     return out
 
