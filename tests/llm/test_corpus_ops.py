@@ -120,6 +120,19 @@ def test_a_large_group_and_edited_copies(spark):
     assert len([i for i in ids if i < 400]) == 1 and len([i for i in ids if i >= 400]) == 100
 
 
+def test_copies_in_a_bucket_of_larger_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    v = vocabulary(rng, 9000)
+    base = rng.choices(v, k=100)
+    texts = [base, base[:-1] + ["other"], rng.choices(v, k=104), rng.choices(v, k=200)]
+    sizes = [len(t) - 4 for t in texts]
+    # One bucket of a band for distances 0 and 2: its largest text is not allowed, that of the copies' size no copy.
+    sigs = spark.createDataFrame([(i, n, [0]) for i, n in enumerate(sizes)], "id bigint, size int, keys array<bigint>")
+    monkeypatch.setattr(near_dedup, "signatures", lambda *_: sigs)
+    gone = near_dedup.near_duplicates(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert [(r.doc_id, r.kept_doc_id) for r in gone] == [(1, 0)]
+
+
 def test_near_duplicate_edges(spark):
     gone = near_dedup.near_duplicates(edge(spark)).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in gone} == {(7, 6)}
