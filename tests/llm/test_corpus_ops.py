@@ -133,6 +133,23 @@ def test_copies_in_a_bucket_of_larger_texts(spark, monkeypatch):
     assert [(r.doc_id, r.kept_doc_id) for r in gone] == [(1, 0)]
 
 
+def test_a_short_text_in_one_of_any_size(spark):
+    rng = random.Random(13)
+    v = vocabulary(rng, 9000)
+    texts, want = [], {}
+    for n in (60, 150, 400, 1000, 3000):
+        whole = rng.choices(v, k=n * 5)
+        for size, edits in ((25, 0), (n, 0), (n, n // 60)):
+            short = whole[n : n + size]
+            for k in range(edits):
+                short[k * 40] = "edited"
+            want[len(texts)] = n
+            texts.append(" ".join(short))
+        texts.append(" ".join(whole))
+    gone = {r.doc_id: r.kept_doc_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert gone == {i: i // 4 * 4 + 3 for i in want}
+
+
 def test_near_duplicate_edges(spark):
     gone = near_dedup.near_duplicates(edge(spark)).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in gone} == {(7, 6)}
