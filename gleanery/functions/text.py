@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,16 +12,6 @@ from ..plans.catalog import BCRYPT, HASH_KINDS, alt
 SPAN_TYPE = "array<struct<value:string,start:int,line:int>>"
 
 
-def sql_text(value: str) -> str:
-    """``value`` as a raw SQL literal of Spark, free of escapes."""
-    if "'" not in value:
-        return f"r'{value}'"
-    if '"' not in value:
-        return f'r"{value}"'
-    pieces = value.split("'")
-    return "concat(" + ", \"'\", ".join(f"r'{p}'" for p in pieces) + ")"
-
-
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -34,39 +26,64 @@ def extract(text: Column, regex: str, group: int = 0) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(regex), F.lit(group)))
 
 
-def spans(text: str, regex: str) -> Column:
-    """All matches of the column named ``text`` with start (from 0) and line (from 1).
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def distinct(rows: Column) -> Column:
+    """Different structs of an array, sorted: array_distinct compares each with all others."""
+    return bound(F.sort_array(rows), lambda s: F.filter(s, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(s, i - 1))))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to and with each entry, by doubling the reach: n log n steps, no list is copied per entry."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(numbers).cast("double"))) - 1, F.lit(0)).cast("int"))
+
+    def farther(held: Column, step: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), step)
+        return F.transform(held, lambda x, i: x + F.when(i >= reach, F.get(held, i - reach)).otherwise(F.lit(0).cast("bigint")))
+
+    return F.aggregate(steps, numbers, farther)
+
+
+def spans(text: Column, regex: str) -> Column:
+    """All matches with start (from 0) and line (from 1).
 
     The pieces between matches and the matches alternate, so running sums of
-    their lengths and newlines give both.  A match must not be empty.
+    their lengths and newlines, held in one number, give both.  A match must not
+    be empty.
     """
-    pattern, held = sql_text(regex), f"`{text}`"
-    nl = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
-    return F.expr(
-        f"""aggregate(
-          zip_with(regexp_extract_all({held}, {pattern}, 0), split({held}, {pattern}, -1),
-                   (m, s) -> struct(s as gap, m as value)),
-          struct(0 as at, 1 as line, cast(array() as {SPAN_TYPE}) as found),
-          (a, x) -> struct(
-            a.at + length(x.gap) + coalesce(length(x.value), 0) as at,
-            a.line + {nl("x.gap")} + coalesce({nl("x.value")}, 0) as line,
-            if(x.value is null, a.found, array_append(a.found, named_struct(
-              'value', x.value, 'start', a.at + length(x.gap), 'line', a.line + {nl("x.gap")}))) as found),
-          a -> a.found)"""
-    )
+    both = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g"))
+    packed = lambda c: F.shiftleft(F.length(c).cast("bigint"), 32) + newlines(c)
+
+    def placed(s: Column) -> Column:
+        ends = running_sums(F.zip_with(s["m"], F.slice(s["g"], F.lit(1), F.size(s["m"])), lambda v, gap: packed(v) + packed(gap)))
+        return F.zip_with(
+            s["m"], ends,
+            lambda v, end: F.struct(
+                v.alias("value"),
+                (F.shiftright(end, 32) - F.length(v)).cast("int").alias("start"),
+                (end.bitwiseAND(0xFFFFFFFF) - newlines(v) + 1).cast("int").alias("line"),
+            ),
+        )
+
+    return bound(both, placed)
+
+
+CHUNK = 1000
 
 
-def context(text: Column, start: Column, value: Column, around: int) -> Column:
-    """The match with ``around`` characters on each side."""
-    first = F.greatest(start - around, F.lit(0))
-    return F.substring(text, first + 1, start + F.length(value) + around - first)
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK characters, to be cut from at any place without walking it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
-def line_of(text: Column, start: Column) -> Column:
-    """The whole line that holds the position."""
-    before = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
-    after = F.substring_index(F.substring(text, start + 1, F.length(text)), "\n", 1)
-    return F.concat(before, after)
+def cut(pieces: Column, first: Column, length: Column) -> Column:
+    """``length`` characters from ``first`` (from 0) of the text in ``chunks``."""
+    lead = F.floor(first / CHUNK).cast("int")
+    last = F.floor((first + length) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, lead + 1, last - lead + 1), ""), first - lead * CHUNK + 1, length)
 
 
 def entropy(text: Column) -> Column:

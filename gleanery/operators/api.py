@@ -19,9 +19,8 @@ def endpoint_structure(docs: DataFrame, *, around: int = 100, id_col: str = "doc
     within ``around`` characters of one of its matches; windows overlap, so
     neighbours share them.  Path parameters come from the endpoint itself.
     """
-    seen = D.located(docs, [_ENDPOINT], id_col=id_col, text_col=text_col)
-    window = T.context(F.col("text"), F.col("start"), F.col("value"), around)
-    near = seen.select("id", F.col("value").alias("endpoint"), window.alias("window")).distinct()
+    seen = D.located(docs, [_ENDPOINT], window=(around, around), id_col=id_col, text_col=text_col)
+    near = seen.select("id", F.col("value").alias("endpoint"), "window").distinct()
 
     def found(name: str, source: Column) -> Column:
         return T.extract(source, CORE_BY_NAME[name].java)
@@ -106,12 +105,11 @@ def request_examples(
     sensitive headers are replaced; bodies are cut to ``most`` characters.
     """
     shapes = [Detector(n, "requests", rx, needs=("http",), flags="") for n, (rx, _) in REQUESTS.items()]
-    seen = D.located(docs, shapes, id_col=id_col, text_col=text_col)
-    window = F.substring(F.col("text"), F.col("start") + 1, F.length("value") + reach)
+    seen = D.located(docs, shapes, window=(0, reach), id_col=id_col, text_col=text_col)
     worked = F.lit(False)
     for sign in SUCCESS:
         worked = worked | F.col("window").rlike(sign)
-    seen = seen.withColumn("window", window).where(worked)
+    seen = seen.where(worked)
 
     def group(which: int) -> Column:
         out = F.lit(None).cast("string")

@@ -65,10 +65,18 @@ COMMENTS = (
 
 def commented_code(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, category, line): comments that hold code, but for parameter documentation."""
-    found = D.located(docs, COMMENTS, keep_text=False, **columns)
-    v = F.col("value")
-    documented = v.contains("/**") & v.contains("*/") & (v.contains("@param") | v.contains("@return"))
-    return found.where(~documented).select("id", F.lit("commented_code").alias("category"), "line").distinct()
+    held = D.prepared(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
+    return held.select("id", F.lit("commented_code").alias("category"), F.explode(comment_lines()).alias("line"))
+
+
+def comment_lines() -> Column:
+    """Lines of the prepared text's comments that hold code, distinct."""
+
+    def documented(f: Column) -> Column:
+        v = f["value"]
+        return v.contains("/**") & v.contains("*/") & (v.contains("@param") | v.contains("@return"))
+
+    return F.array_distinct(F.transform(F.filter(D.spots(COMMENTS), lambda f: ~documented(f)), lambda f: f["line"]))
 
 
 def complexity(
@@ -79,14 +87,25 @@ def complexity(
     ``amount`` is the lines of a function, the characters of a line or the
     parameters of a function; null for other rules.
     """
-    found = D.located(docs, COMPLEXITY, id_col=id_col, text_col=text_col, keep_text=False)
-    v, rule = F.col("value"), F.col("rule")
-    lines, commas = T.newlines(v) + 1, F.length(v) - F.length(F.replace(v, F.lit(","), F.lit(""))) + 1
-    amount = F.when(rule == "complex_function", lines).when(rule == "long_line", F.length(v)).when(rule == "many_parameters", commas)
-    found = found.withColumn("amount", amount)
-    short = (rule == "complex_function") & (F.col("amount") <= max_function_lines)
-    few = (rule == "many_parameters") & (F.col("amount") <= max_parameters)
-    return found.where(~short & ~few).select("id", "rule", "line", "amount").distinct()
+    rows = complexity_rows(max_function_lines, max_parameters)
+    return D.prepared(docs, id_col, text_col).select("id", F.explode(rows).alias("f")).select("id", "f.*")
+
+
+def complexity_rows(max_function_lines: int = 100, max_parameters: int = 5) -> Column:
+    """(rule, line, amount) of the prepared text, distinct."""
+
+    def one(f: Column) -> Column:
+        v, rule = f["value"], f["rule"]
+        lines, commas = T.newlines(v) + 1, F.length(v) - F.length(F.replace(v, F.lit(","), F.lit(""))) + 1
+        amount = F.when(rule == "complex_function", lines).when(rule == "long_line", F.length(v)).when(rule == "many_parameters", commas)
+        return F.struct(rule.alias("rule"), f["line"].alias("line"), amount.alias("amount"))
+
+    def kept(f: Column) -> Column:
+        short = (f["rule"] == "complex_function") & (f["amount"] <= max_function_lines)
+        few = (f["rule"] == "many_parameters") & (f["amount"] <= max_parameters)
+        return ~F.coalesce(short, F.lit(False)) & ~F.coalesce(few, F.lit(False))
+
+    return T.distinct(F.filter(F.transform(D.spots(COMPLEXITY), one), kept))
 
 
 DECISIONS = ("case", "catch", "do", "else", "for", "if", "switch", "while")
@@ -105,8 +124,12 @@ def size_measures(
 
 def client_endpoints(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, category, value): addresses in calls of HTTP clients; absolute or below /api/."""
-    found = D.detect(docs, HTTP_CLIENTS, checks={}, **columns)
-    return found.where(F.col("value").rlike("^https?://") | F.col("value").startswith("/api/"))
+    held = D.prepared(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
+    return held.select("id", F.explode(client_entries()).alias("f")).select("id", "f.*")
+
+
+def client_entries() -> Column:
+    return F.filter(D.found(HTTP_CLIENTS, {}), lambda f: f["value"].rlike("^https?://") | f["value"].startswith("/api/"))
 
 
 def software_versions(docs: DataFrame, **columns: str) -> DataFrame:
@@ -125,7 +148,7 @@ def package_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         else:
             versions = F.regexp_extract_all("text", F.lit(d.java), F.lit(2))
         needed = D.wanted(d, F.col("lowered"))
-        pairs = F.array_distinct(F.zip_with(names, versions, lambda n, v: F.struct(n.alias("package"), v.alias("version"))))
+        pairs = T.distinct(F.zip_with(names, versions, lambda n, v: F.struct(n.alias("package"), v.alias("version"))))
         none = F.array().cast("array<struct<package:string,version:string>>")
         entries.append(D.tagged(F.when(needed, pairs).otherwise(none), kind=d.name))
     out = D.prepared(docs, id_col, text_col).select("id", F.explode(F.flatten(F.array(*entries))).alias("f"))
@@ -141,13 +164,25 @@ def manifest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Development dependencies replace others of the same name.  ``loose`` marks
     versions that admit breaking changes.  Text that is no JSON gives nothing.
     """
-    held = D.prepared(docs, id_col, text_col).where(F.col("lowered").contains("dependencies"))
-    m = held.select("id", F.from_json("text", _MANIFEST).alias("m"))
+    held = D.prepared(docs, id_col, text_col).select("id", F.explode(package_rows()).alias("f"))
+    return held.select("id", "f.*")
+
+
+def package_rows() -> Column:
+    """(package, version, loose) of the prepared text, where it is a manifest."""
     none = F.create_map().cast("map<string,string>")
-    main, dev = F.coalesce("m.dependencies", none), F.coalesce("m.devDependencies", none)
-    kept = F.map_filter(main, lambda k, _: ~F.map_contains_key(dev, k))
-    out = m.select("id", F.explode(F.map_concat(kept, dev)).alias("package", "version"))
-    return out.withColumn("loose", loose(F.col("version")))
+
+    def listed(m: Column) -> Column:
+        main, dev = F.coalesce(m["dependencies"], none), F.coalesce(m["devDependencies"], none)
+        kept = F.map_filter(main, lambda k, _: ~F.map_contains_key(dev, k))
+        return F.transform(
+            F.map_entries(F.map_concat(kept, dev)),
+            lambda e: F.struct(e["key"].alias("package"), e["value"].alias("version"), loose(e["value"]).alias("loose")),
+        )
+
+    kind = "array<struct<package:string,version:string,loose:boolean>>"
+    found = T.bound(F.from_json("text", _MANIFEST), listed)
+    return F.when(F.col("lowered").contains("dependencies"), found).otherwise(F.array().cast(kind))
 
 
 def loose(version: Column) -> Column:
@@ -156,6 +191,12 @@ def loose(version: Column) -> Column:
 
 def manifest_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, category, value): name, version and licence of package manifests."""
-    m = D.prepared(docs, id_col, text_col).where(F.col("lowered").contains("{")).select("id", F.from_json("text", _MANIFEST).alias("m"))
-    parts = F.array(*(F.when(F.col(f"m.{k}").isNotNull(), F.concat(F.lit(f"Package {k}: "), f"m.{k}")) for k in ("name", "version", "license")))
-    return m.select("id", F.lit("software_versions").alias("category"), F.explode(F.array_compact(parts)).alias("value"))
+    return D.prepared(docs, id_col, text_col).select("id", F.explode(label_entries()).alias("f")).select("id", "f.*")
+
+
+def label_entries() -> Column:
+    def named(m: Column) -> Column:
+        parts = F.array(*(F.when(m[k].isNotNull(), F.concat(F.lit(f"Package {k}: "), m[k])) for k in ("name", "version", "license")))
+        return F.transform(F.array_compact(parts), lambda v: D.finding("software_versions", v))
+
+    return F.when(F.col("lowered").contains("{"), T.bound(F.from_json("text", _MANIFEST), named)).otherwise(D.no_findings())

@@ -50,6 +50,23 @@ def tagged(found: Column, **fields: str) -> Column:
     return F.transform(found, lambda v: F.struct(*(F.lit(x).alias(n) for n, x in fields.items()), v.alias("value")))
 
 
+FINDINGS = "array<struct<category:string,value:string>>"
+
+
+def no_findings() -> Column:
+    return F.array().cast(FINDINGS)
+
+
+def finding(category: str, value: Column) -> Column:
+    return F.struct(F.lit(category).alias("category"), value.alias("value"))
+
+
+def found(detectors: Sequence[Detector], checks: dict[str, Check] | None = None) -> Column:
+    """Findings of the prepared text as an array, distinct for each detector."""
+    checks = CHECKS if checks is None else checks
+    return F.flatten(F.array(*(tagged(matches(d, checks.get(d.name)), category=d.name) for d in detectors)))
+
+
 def detect(
     docs: DataFrame,
     detectors: Sequence[Detector] = CORE,
@@ -64,40 +81,93 @@ def detect(
     ``merge`` makes those one.  The id keeps its type and may be null; other
     columns are not read.
     """
-    checks = CHECKS if checks is None else checks
-    entries = [tagged(matches(d, checks.get(d.name)), category=d.name) for d in detectors]
-    out = prepared(docs, id_col, text_col).select("id", F.explode(F.flatten(F.array(*entries))).alias("f"))
+    out = prepared(docs, id_col, text_col).select("id", F.explode(found(detectors, checks)).alias("f"))
     return out.select("id", "f.category", "f.value")
 
 
+def present_entries(detectors: Sequence[Detector], category: str, prefix: str = "") -> Column:
+    """Names of the detectors that match the prepared text at least once, as findings."""
+
+    def hit(d: Detector) -> Column:
+        needed, seen = wanted(d, F.col("lowered")), F.col("text").rlike(d.java)
+        return F.when(seen if needed is None else needed & seen, F.lit(prefix + d.name))
+
+    return F.transform(F.array_compact(F.array(*map(hit, detectors))), lambda n: finding(category, n))
+
+
 def present(
     docs: DataFrame, detectors: Sequence[Detector], category: str, *, id_col: str = "doc_id", text_col: str = "text", prefix: str = ""
 ) -> DataFrame:
     """(id, category, value): names of the detectors that match at least once."""
+    names = present_entries(detectors, category, prefix)
+    return prepared(docs, id_col, text_col).select("id", F.explode(names).alias("f")).select("id", "f.category", "f.value")
 
-    def hit(d: Detector) -> Column:
-        needed, found = wanted(d, F.col("lowered")), F.col("text").rlike(d.java)
-        return F.when(found if needed is None else needed & found, F.lit(prefix + d.name))
-
-    names = F.array_compact(F.array(*(hit(d) for d in detectors)))
-    return prepared(docs, id_col, text_col).select("id", F.lit(category).alias("category"), F.explode(names).alias("value"))
 
+def spots(detectors: Sequence[Detector], window: tuple[int, int] | None = None, whole_line: bool = False) -> Column:
+    """Every match in the prepared text: (rule, value, start, line[, window][, whole]).
 
-def located(
-    docs: DataFrame, detectors: Sequence[Detector], *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
-) -> DataFrame:
-    """(id, text, rule, value, start, line): every match with its place."""
+    ``window`` is the match with so many characters before and after it,
+    ``whole`` the line that it begins in.  Both are cut here, from the text in
+    pieces: the text itself is never repeated for a match.
+    """
     entries = []
     for d in detectors:
         needed = wanted(d, F.col("lowered"))
-        found = T.spans("text", d.java)
+        seen = T.spans(F.col("text"), d.java)
         if needed is not None:
-            found = F.when(needed, found).otherwise(F.array().cast(T.SPAN_TYPE))
-        entries.append(tagged(found, rule=d.name))
-    held = prepared(docs, id_col, text_col)
-    out = held.select("id", "text", F.explode(F.flatten(F.array(*entries))).alias("f"))
-    cols = ["id", "text"] if keep_text else ["id"]
-    return out.select(*cols, "f.rule", "f.value.value", "f.value.start", "f.value.line")
+            seen = F.when(needed, seen).otherwise(F.array().cast(T.SPAN_TYPE))
+        entries.append(tagged(seen, rule=d.name))
+    kind = "array<struct<rule:string,value:string,start:int,line:int" + ",window:string" * bool(window) + ",whole:string" * whole_line + ">>"
+
+    def dressed(all_: Column, pieces: Column | None, lines: Column | None) -> Column:
+        def one(f: Column) -> Column:
+            v, start, line = f["value"]["value"], f["value"]["start"], f["value"]["line"]
+            more = []
+            if window:
+                first = F.greatest(start - window[0], F.lit(0))
+                more.append(T.cut(pieces, first, start + F.length(v) + window[1] - first).alias("window"))
+            if whole_line:
+                more.append(F.get(lines, line - 1).alias("whole"))
+            return F.struct(f["rule"].alias("rule"), v.alias("value"), start.alias("start"), line.alias("line"), *more)
+
+        return F.transform(all_, one)
+
+    def with_parts(all_: Column) -> Column:
+        out = lambda p, n: dressed(all_, p, n)
+        if window and whole_line:
+            made = T.bound(T.chunks(F.col("text")), lambda p: T.bound(F.split("text", "\n", -1), lambda n: out(p, n)))
+        elif window:
+            made = T.bound(T.chunks(F.col("text")), lambda p: out(p, None))
+        elif whole_line:
+            made = T.bound(F.split("text", "\n", -1), lambda n: out(None, n))
+        else:
+            made = out(None, None)
+        return F.when(F.size(all_) > 0, made).otherwise(F.array().cast(kind))
+
+    return T.bound(F.flatten(F.array(*entries)), with_parts)
+
+
+def located(
+    docs: DataFrame,
+    detectors: Sequence[Detector],
+    *,
+    window: tuple[int, int] | None = None,
+    whole_line: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, rule, value, start, line[, window][, whole]): every match with its place."""
+    out = prepared(docs, id_col, text_col).select("id", F.explode(spots(detectors, window, whole_line)).alias("f"))
+    return out.select("id", "f.*")
+
+
+def smell_rows(detectors: Sequence[Detector], category: str, around: int | None) -> Column:
+    """(category, rule, line, context) of every match, distinct."""
+    held = spots(detectors, None if around is None else (around, around), around is None)
+    shown = lambda f: T.strip(f["whole" if around is None else "window"])
+    return T.distinct(
+        F.transform(held, lambda f: F.struct(F.lit(category).alias("category"), f["rule"].alias("rule"), f["line"].alias("line"), shown(f).alias("context")))
+    )
 
 
 def smells(
@@ -109,20 +179,21 @@ def smells(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, category, rule, line, context), distinct: rules with where they match.
+    """(id, category, rule, line, context), distinct within a row: rules with where they match.
 
     The context is ``around`` characters on both sides, or the whole line.
     """
-    found = located(docs, detectors, id_col=id_col, text_col=text_col)
-    text, start, value = F.col("text"), F.col("start"), F.col("value")
-    shown = T.line_of(text, start) if around is None else T.context(text, start, value, around)
-    return found.select("id", F.lit(category).alias("category"), "rule", "line", T.strip(shown).alias("context")).distinct()
+    rows = prepared(docs, id_col, text_col).select("id", F.explode(smell_rows(detectors, category, around)).alias("f"))
+    return rows.select("id", "f.*")
+
 
+def smell_entries(detectors: Sequence[Detector], category: str = "security_smells", around: int | None = 20) -> Column:
+    """The same as findings."""
+    return F.transform(smell_rows(detectors, category, around), lambda f: finding(category, _at_line(f["rule"], f["line"], f["context"])))
 
-def as_finding(found: DataFrame) -> DataFrame:
-    """Rules with their place as plain (id, category, value)."""
-    value = F.concat("rule", F.lit(" (line "), "line", F.lit("): "), "context")
-    return found.select("id", "category", value.alias("value"))
+
+def _at_line(rule: Column, line: Column, shown: Column) -> Column:
+    return F.concat(rule, F.lit(" (line "), line.cast("string"), F.lit("): "), shown)
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -140,10 +211,8 @@ def enrich_hashes(findings: DataFrame) -> DataFrame:
 SECRET = r"^[\p{L}\p{N}!@#$%^&*()\-_=+\[\]{}|;:,.<>?/]+$"
 
 
-def high_entropy(
-    docs: DataFrame, *, threshold: float = 4.5, least_bytes: int = 8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, value, entropy): distinct tokens of more bits a character than the threshold.
+def entropy_rows(threshold: float = 4.5, least_bytes: int = 8) -> Column:
+    """(value, entropy) of the prepared text's tokens of more bits a character than the threshold.
 
     H bits need more than 2^H different characters, so shorter tokens are passed
     over before anything is counted.
@@ -151,16 +220,26 @@ def high_entropy(
     fewest = int(2**threshold) + 1
     tokens = F.array_distinct(F.split("text", r"(?U)\s+"))
     held = F.filter(tokens, lambda w: (F.octet_length(w) >= least_bytes) & (F.length(w) >= fewest) & w.rlike(SECRET))
-    held = prepared(docs, id_col, text_col).select("id", F.explode(held).alias("value"))
-    return held.withColumn("entropy", T.entropy(F.col("value"))).where(F.col("entropy") > threshold)
+    return F.filter(F.transform(held, lambda w: F.struct(w.alias("value"), T.entropy(w).alias("entropy"))), lambda f: f["entropy"] > threshold)
 
 
-def json_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 500, most: int = 200) -> DataFrame:
-    """(id, category, value): JSON answers, from their brace to its partner.
+def high_entropy(
+    docs: DataFrame, *, threshold: float = 4.5, least_bytes: int = 8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, value, entropy): distinct tokens of more bits a character than the threshold."""
+    return prepared(docs, id_col, text_col).select("id", F.explode(entropy_rows(threshold, least_bytes)).alias("f")).select("id", "f.*")
+
+
+def json_entries(reach: int = 500, most: int = 200) -> Column:
+    """JSON answers as findings, from their brace to its partner.
 
     Objects that don't close within ``reach`` characters are left out.
     """
-    found = located(docs, JSON_STATUS, id_col=id_col, text_col=text_col)
-    whole = T.braces(F.substring(F.col("text"), F.col("start") + 1, F.lit(reach)), reach)
-    out = found.select("id", F.col("rule").alias("category"), T.shorten(whole, most).alias("value"))
-    return out.where("value is not null").distinct()
+    whole = lambda f: T.shorten(T.braces(F.left(f["window"], F.lit(reach)), reach), most)
+    held = F.transform(spots(JSON_STATUS, (0, reach)), lambda f: F.struct(f["rule"].alias("category"), whole(f).alias("value")))
+    return T.distinct(F.filter(held, lambda f: f["value"].isNotNull()))
+
+
+def json_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 500, most: int = 200) -> DataFrame:
+    """(id, category, value): JSON answers, distinct within a row."""
+    return prepared(docs, id_col, text_col).select("id", F.explode(json_entries(reach, most)).alias("f")).select("id", "f.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,63 +23,116 @@ def issues(docs: DataFrame, **columns: str) -> DataFrame:
     return D.smells(docs, NETWORK_ISSUES, "network_security_issues", **columns)
 
 
-def configuration(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ports, hosts): what is configured, valid ports alone, distinct."""
-    held = D.prepared(docs, id_col, text_col)
-    ports = F.filter(D.matches(_PORT), lambda p: p.try_cast("int").between(0, 65535))
-    out = held.select("id", "text", ports.alias("ports"), D.matches(_HOST).alias("hosts"))
-    return out.where((F.size("ports") > 0) | (F.size("hosts") > 0))
+def port_values() -> Column:
+    """Valid ports of the prepared text as they stand there, distinct."""
+    return F.filter(D.matches(_PORT), lambda p: p.try_cast("int").between(0, 65535))
+
+
+def host_values() -> Column:
+    return D.matches(_HOST)
+
+
+def is_outside(host: Column) -> Column:
+    """Whether a host is an address that isn't of a local net."""
+    local = F.lit(False)
+    for net in LOCAL_NETS:
+        local = local | host.startswith(net)
+    return host.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$") & ~local
+
+
+def service_of(port: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in SERVICES.items() for x in kv))
+    return F.coalesce(table[port], F.lit("Unknown Service"))
+
+
+PORT_RANGES = ((0, 1023, "well known"), (1024, 49151, "registered"), (49152, 65535, "dynamic"))
+
+
+def port_range(port: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for lo, hi, kind in PORT_RANGES:
+        out = F.when(port.between(lo, hi), F.lit(kind)).otherwise(out)
+    return out
+
+
+def endpoint_rows(hosts_: Column, ports_: Column) -> Column:
+    """(host, port) pairs that both stand in the text, without overlap, in either order."""
+    after = lambda a, b: F.call_function("locate", b, F.col("text"), F.call_function("locate", a, F.col("text")) + F.length(a)) > 0
+
+    def of_host(h: Column) -> Column:
+        near = F.filter(ports_, lambda p: after(h, p) | after(p, h))
+        return F.transform(near, lambda p: F.struct(h.alias("host"), p.cast("int").alias("port")))
+
+    return T.distinct(F.flatten(F.transform(hosts_, of_host)))
+
+
+def _each(docs: DataFrame, rows: Column, **columns: str) -> DataFrame:
+    held = D.prepared(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
+    return held.select("id", F.explode(rows).alias("f"))
 
 
 def ports(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, value, port)"""
-    out = configuration(docs, **columns).select("id", F.explode("ports").alias("value"))
-    return out.withColumn("port", F.col("value").cast("int"))
+    return _each(docs, port_values(), **columns).select("id", F.col("f").alias("value"), F.col("f").cast("int").alias("port"))
 
 
 def sensitive_ports(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, port, service): ports that one wouldn't want to be open."""
-    table = F.create_map(*(F.lit(x) for kv in SERVICES.items() for x in kv))
     found = ports(docs, **columns).where(F.col("port").isin(*SENSITIVE_PORTS))
-    return found.select("id", "port", F.coalesce(table[F.col("port")], F.lit("Unknown Service")).alias("service"))
+    return found.select("id", "port", service_of(F.col("port")).alias("service"))
 
 
 def hosts(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, host, outside): ``outside`` marks an address that isn't of a local net."""
-    out = configuration(docs, **columns).select("id", F.explode("hosts").alias("host"))
-    address = F.col("host").rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")
-    local = F.lit(False)
-    for net in LOCAL_NETS:
-        local = local | F.col("host").startswith(net)
-    return out.withColumn("outside", address & ~local)
+    return _each(docs, host_values(), **columns).select("id", F.col("f").alias("host"), is_outside(F.col("f")).alias("outside"))
 
 
 def endpoints(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, host, port): pairs of a text in which both stand, without overlap, in either order."""
-    pairs = (
-        configuration(docs, **columns)
-        .select("id", "text", F.explode("hosts").alias("host"), "ports")
-        .select("id", "text", "host", F.explode("ports").alias("port"))
+    rows = T.bound(F.struct(host_values().alias("h"), port_values().alias("p")), lambda s: endpoint_rows(s["h"], s["p"]))
+    return _each(docs, rows, **columns).select("id", "f.*")
+
+
+def entries() -> Column:
+    """All of the above as findings of the prepared text."""
+    number = lambda p: p.cast("int")
+
+    def configured(s: Column) -> Column:
+        h, p = s["h"], s["p"]
+        return F.flatten(
+            F.array(
+                F.transform(p, lambda v: D.finding("network_ports", v)),
+                F.transform(h, lambda v: D.finding("network_hosts", v)),
+                F.transform(endpoint_rows(h, p), lambda e: D.finding("network_endpoints", F.concat_ws(":", e["host"], e["port"].cast("string")))),
+                F.transform(F.filter(h, is_outside), lambda v: D.finding("network_security_issues", F.concat(F.lit("Address outside local nets: "), v))),
+                F.transform(
+                    F.filter(p, lambda v: number(v).isin(*SENSITIVE_PORTS)),
+                    lambda v: D.finding(
+                        "network_security_issues", F.concat(F.lit("Sensitive port "), number(v).cast("string"), F.lit(" ("), service_of(number(v)), F.lit(")"))
+                    ),
+                ),
+            )
+        )
+
+    return F.concat(
+        D.present_entries(PROTOCOLS, "network_protocols"),
+        D.smell_entries(NETWORK_ISSUES, "network_security_issues"),
+        T.bound(F.struct(host_values().alias("h"), port_values().alias("p")), configured),
     )
-    after = lambda a, b: F.expr(f"locate({b}, text, locate({a}, text) + length({a})) > 0")
-    both = pairs.where(after("host", "port") | after("port", "host"))
-    return both.select("id", "host", F.col("port").cast("int").alias("port")).distinct()
 
 
-def findings(docs: DataFrame, **columns: str) -> DataFrame:
-    """All of the above as (id, category, value)."""
-    ports_, hosts_ = ports(docs, **columns), hosts(docs, **columns)
-    issue = lambda df, value: df.select("id", F.lit("network_security_issues").alias("category"), value.alias("value"))
-    named = lambda df, category, value: df.select("id", F.lit(category).alias("category"), value.alias("value"))
-    return D.merge(
-        protocols(docs, **columns),
-        D.as_finding(issues(docs, **columns)),
-        named(ports_, "network_ports", F.col("value")),
-        named(hosts_, "network_hosts", F.col("host")),
-        named(endpoints(docs, **columns), "network_endpoints", F.concat_ws(":", "host", F.col("port").cast("string"))),
-        issue(hosts_.where("outside"), F.concat(F.lit("Address outside local nets: "), "host")),
-        issue(
-            sensitive_ports(docs, **columns),
-            F.concat(F.lit("Sensitive port "), F.col("port").cast("string"), F.lit(" ("), "service", F.lit(")")),
-        ),
+def script_entries() -> Column:
+    """Protocols and issues of scripts, whatever the case of the letters."""
+    return F.concat(
+        D.present_entries([_any_case(d) for d in PROTOCOLS], "network_protocols"),
+        D.smell_entries([_any_case(d) for d in NETWORK_ISSUES], "network_security_issues"),
     )
+
+
+def _any_case(d: D.Detector) -> D.Detector:
+    return d if "i" in d.flags else replace(d, flags=d.flags + "i")
+
+
+def findings(docs: DataFrame, **columns: str) -> DataFrame:
+    """All of the above as (id, category, value), distinct within a row."""
+    return _each(docs, T.distinct(entries()), **columns).select("id", "f.*")
