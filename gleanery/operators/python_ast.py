@@ -6,6 +6,7 @@ Only sources with a Python suffix get here; batches travel as Arrow.
 from __future__ import annotations
 
 import ast
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -41,6 +42,36 @@ def cyclomatic(node: ast.AST) -> int:
     return n
 
 
+def halstead_volume(tree: ast.AST) -> float:
+    """(operators + operands) * log2 of the different ones, of all expressions."""
+    operators: list[str] = []
+    operands: list[str] = []
+    for x in ast.walk(tree):
+        if isinstance(x, (ast.BinOp, ast.UnaryOp, ast.AugAssign)):
+            operators.append(type(x.op).__name__)
+            held = [x.operand] if isinstance(x, ast.UnaryOp) else [x.left, x.right] if isinstance(x, ast.BinOp) else [x.target, x.value]
+        elif isinstance(x, ast.BoolOp):
+            operators.append(type(x.op).__name__)
+            held = x.values
+        elif isinstance(x, ast.Compare):
+            operators += [type(o).__name__ for o in x.ops]
+            held = [x.left, *x.comparators]
+        else:
+            continue
+        operands += [ast.dump(h) for h in held]
+    vocabulary = len(set(operators)) + len(set(operands))
+    return (len(operators) + len(operands)) * math.log2(vocabulary) if vocabulary > 1 else 0.0
+
+
+def maintainability(tree: ast.AST, source: str) -> float:
+    """The maintainability index, 0 to 100, from volume, branches and lines of code."""
+    lines = sum(1 for x in source.split("\n") if x.strip() and not x.strip().startswith("#"))
+    volume, branches = halstead_volume(tree), cyclomatic(tree)
+    if not lines or not volume:
+        return 100.0
+    return max(0.0, (171 - 5.2 * math.log(max(volume, 1.0)) - 0.23 * branches - 16.2 * math.log(lines)) * 100 / 171)
+
+
 def _call(node: ast.Call) -> Iterator[tuple[str, str]]:
     f = node.func
     if isinstance(f, ast.Name):
@@ -58,7 +89,7 @@ def _call(node: ast.Call) -> Iterator[tuple[str, str]]:
             yield "subprocess with shell", f.attr
 
 
-def inspect(source: str, max_complexity: int = 10) -> list[Finding]:
+def inspect(source: str, max_complexity: int = 10, min_maintainability: float = 65.0) -> list[Finding]:
     """Findings of one source, distinct; a source that doesn't parse has one alone."""
     try:
         with warnings.catch_warnings():
@@ -73,6 +104,8 @@ def inspect(source: str, max_complexity: int = 10) -> list[Finding]:
     def add(rule: str, line: int, detail: str, category: str = "security_smells") -> None:
         out[category, rule, line, detail] = None
 
+    if (index := maintainability(tree, source)) < min_maintainability:
+        add("low maintainability", 0, f"{index:.2f}", "code_quality")
     for node in ast.walk(tree):
         line = getattr(node, "lineno", 0)
         if isinstance(node, ast.Import):
