@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import DISPLAY_GROUPS, SEVERITY_PAGE, SEVERITY_TABLE
@@ -24,14 +24,63 @@ def per_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category").agg(F.count("*").alias("findings"))
 
 
-def totals(findings: DataFrame) -> DataFrame:
-    """One row: all findings, those without metadata and errors, categories, sources."""
+def totals(findings: DataFrame, analysed: DataFrame | None = None) -> DataFrame:
+    """One row: all findings, those without metadata and errors, categories, sources with findings.
+
+    With the documents ``analysed`` their number comes too, whether anything was found
+    in them or not.
+    """
     counted = ~F.col("category").isin(*NOT_COUNTED)
-    return findings.agg(
-        F.count("*").alias("all_findings"),
+    parts = [
+        F.count("category").alias("all_findings"),
         F.count_if(counted).alias("findings"),
         F.count_distinct("category").alias("categories"),
         F.count_distinct("id").alias("sources"),
+    ]
+    if analysed is None:
+        return findings.agg(*parts)
+    both = findings.select("id", "category", F.lit(0).alias("doc")).unionByName(analysed.select(F.lit(1).alias("doc")), allowMissingColumns=True)
+    return both.agg(*parts, F.sum("doc").alias("analysed"))
+
+
+def by_severity(findings: DataFrame) -> DataFrame:
+    """(severity, category, findings) with all subtotals; null marks a total."""
+    counts = with_severity(per_category(findings))
+    return counts.cube("severity", "category").agg(F.sum("findings").alias("findings"))
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """(severity, category, findings, rank, share, before): categories within their severity.
+
+    ``share`` is the running share of the severity's findings, ``before`` the count of
+    the category ahead.  Only counts, a row a category, are ordered.
+    """
+    counts = with_severity(per_category(findings))
+    order = Window.partitionBy("severity").orderBy(F.desc("findings"), "category")
+    sums = order.rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(
+        "severity", "category", "findings",
+        F.rank().over(Window.partitionBy("severity").orderBy(F.desc("findings"))).alias("rank"),
+        F.round(F.sum("findings").over(sums) / F.sum("findings").over(Window.partitionBy("severity")), 6).alias("share"),
+        F.lag("findings").over(order).alias("before"),
+    )
+
+
+def without_findings(docs: DataFrame, findings: DataFrame, id_col: str = "id") -> DataFrame:
+    """The documents in which nothing was found."""
+    return docs.join(findings.select(F.col("id").alias("__found")).distinct(), docs[id_col] == F.col("__found"), "left_anti")
+
+
+def with_finding(docs: DataFrame, findings: DataFrame, category: str, id_col: str = "id") -> DataFrame:
+    """The documents in which something of the category was found."""
+    kept = findings.where(F.col("category") == category).select(F.col("id").alias("__found")).distinct()
+    return docs.join(kept, docs[id_col] == F.col("__found"), "left_semi")
+
+
+def value_spread(findings: DataFrame) -> DataFrame:
+    """(category, values, about): different values of a category, exact and by HyperLogLog."""
+    return findings.groupBy("category").agg(
+        F.count_distinct("value").alias("values"), F.approx_count_distinct("value", 0.02).alias("about")
     )
 
 

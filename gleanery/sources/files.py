@@ -6,6 +6,8 @@ import json
 import logging
 import os
 import stat
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 
@@ -146,6 +148,16 @@ def split_metadata(value: Column) -> Column:
     return F.struct(F.trim(parts[0]).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value"))
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one under a local master alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="gleanery-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_config(path: str | None) -> dict:
     """Options of a JSON file; empty with a message where it is missing or broken."""
     if path is None:

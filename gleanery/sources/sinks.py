@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import html
 import json
+import logging
 from datetime import datetime, timezone
+from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,18 +110,41 @@ def console(
     return "\n".join(lines + (["```"] if markdown else []))
 
 
-def page(findings: DataFrame, *, shown: int = 200, mask: bool = True) -> str:
-    """The report as one HTML page; everything from the data is escaped."""
+def page(
+    findings: DataFrame, *, shown: int = 200, mask: bool = True, analysed: int | None = None, seconds: float | None = None, title: str = "Findings"
+) -> str:
+    """The report as one HTML page; everything from the data is escaped.
+
+    Metadata and errors have sections of their own, endpoints with what stands near
+    them come under API, and a head tells what was analysed, when and how long.
+    """
     rows, e = sample(findings, shown), html.escape
     level = {c: k for k, names in R.SEVERITY_PAGE.items() for c in names.split()}
-    parts = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body>"]
-    for group, members in _grouped(rows, DISPLAY_GROUPS):
-        parts.append(f"<details open><summary>{e(group)}</summary>")
+    counted = sum({r["category"]: r["n"] for r in rows if r["category"] not in R.NOT_COUNTED}.values())
+    facts = {"Generated": datetime.now(timezone.utc).isoformat(timespec="seconds"), "Total findings": counted}
+    if analysed is not None:
+        facts["Sources analysed"] = analysed
+    if seconds is not None:
+        facts["Seconds"] = f"{seconds:.2f}"
+    parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{e(title)}</title></head><body><h1>{e(title)}</h1><dl>"]
+    parts += [f"<dt>{e(k)}</dt><dd>{e(str(v))}</dd>" for k, v in facts.items()]
+    parts.append("</dl>")
+
+    def section(name: str, members: list[tuple[str, int, list[str]]], kind: str = "") -> None:
+        parts.append(f"<details open class='{kind}'><summary>{e(name)}</summary>")
         for category, n, values in members:
             hide = mask and category in MASKED
             items = "".join(f"<li>{e(masked(v) if hide else v)}</li>" for v in values)
             parts.append(f"<h3 class='{level.get(category, 'normal')}'>{e(titled(category))} ({n})</h3><ul>{items}</ul>")
         parts.append("</details>")
+
+    held = {c: (c, n, v) for _, members in _grouped(rows, {}) for c, n, v in members}
+    apart = [("Metadata", "file_metadata", "metadata"), ("Errors", "runtime_errors", "errors")]
+    for name, category, kind in apart:
+        if category in held:
+            section(name, [held[category]], kind)
+    for group, members in _grouped([r for r in rows if r["category"] not in R.NOT_COUNTED], DISPLAY_GROUPS):
+        section(group, members, "api" if group.startswith("API") else "")
     return "".join(parts) + "</body></html>"
 
 
@@ -128,9 +153,25 @@ def write_text(text: str, path: str) -> None:
         f.write(text)
 
 
-def to_plain_json(findings: DataFrame, shown: int = 10**4) -> str:
-    """A small report as one indented object."""
-    out: dict[str, list[str]] = {}
-    for r in sample(findings, shown):
-        out.setdefault(r["category"], []).append(r["value"])
-    return json.dumps({k: sorted(v) for k, v in sorted(out.items())}, indent=2, ensure_ascii=False)
+def to_plain_json(findings: DataFrame) -> str:
+    """A report as one indented object, values in full: for results that fit the driver.
+
+    Larger ones go through ``write_json``.
+    """
+    grouped = findings.groupBy("category").agg(F.array_sort(F.collect_set("value")).alias("vs")).orderBy("category")
+    return json.dumps({r["category"]: list(r["vs"]) for r in grouped.toLocalIterator()}, indent=2, ensure_ascii=False)
+
+
+def log_to(path: str | None, level: str = "INFO", max_bytes: int = 10 << 20, kept: int = 5) -> None:
+    """Messages of the package to a file that rotates at ``max_bytes``, and to standard error."""
+    root = logging.getLogger("gleanery")
+    root.setLevel(level)
+    for old in list(root.handlers):
+        root.removeHandler(old)
+        old.close()
+    targets: list[logging.Handler] = [logging.StreamHandler()]
+    if path is not None:
+        targets.append(RotatingFileHandler(path, maxBytes=max_bytes, backupCount=kept, encoding="utf-8"))
+    for t in targets:
+        t.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        root.addHandler(t)
