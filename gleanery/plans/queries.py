@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from ..operators import detect as D
 from ..operators import rollup as R
 from ..operators.python_ast import python_sources
 from ..sources import files
-from ..streaming.stream import windowed_counts
+from ..streaming.stream import latest_before, run_to_table, session_counts, windowed_counts
 from . import catalog as C
-from .probes import SNIPPETS_SQL, TEXTS, quoted, snippets, texts
+from .probes import TEXTS, quoted, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,17 +159,19 @@ def network_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.protocols(texts(spark, sf_dir), **ON)
 
 
-_PLAIN_FRAMEWORKS = [d for d in C.FRAMEWORKS if d.name != "TypeScript"]
+#: The word and space classes of Unicode, as RE2 can write them.
+_WIDE = {r"\w": r"[\pL\pM\p{Nd}\p{Nl}\p{Pc}]", r"\s": r"[\s\x{85}\pZ]"}
 
 
-@query("frameworks", f"WITH {TEXTS} {present_sql(_PLAIN_FRAMEWORKS, 'api_framework', 'JavaScript framework: ')}")
-def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the one rule whose word class differs outside ASCII."""
-    return code.frameworks(texts(spark, sf_dir), **ON).where("value != 'JavaScript framework: TypeScript'")
+def widened(d: C.Detector) -> C.Detector:
+    regex = d.regex
+    for short, wide in _WIDE.items():
+        regex = regex.replace(short, wide)
+    return replace(d, regex=regex)
 
 
-@query("frameworks_all")
-def frameworks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("frameworks", f"WITH {TEXTS} {present_sql([widened(d) if d.name == 'TypeScript' else d for d in C.FRAMEWORKS], 'api_framework', 'JavaScript framework: ')}")
+def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.frameworks(texts(spark, sf_dir), **ON)
 
 
@@ -303,7 +306,7 @@ def script_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("match_lines", f"WITH {TEXTS}, {located_sql([C.CORE_BY_NAME[n] for n in ('email', 'credit_card', 'url')])} SELECT id, rule, value, start::INT AS start, line FROM spots")
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = [C.CORE_BY_NAME[n] for n in ("email", "credit_card", "url")]
-    return D.located(texts(spark, sf_dir), kept, keep_text=False, **ON)
+    return D.located(texts(spark, sf_dir), kept, **ON)
 
 
 @query(
@@ -346,47 +349,51 @@ def client_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.client_endpoints(texts(spark, sf_dir), **ON)
 
 
-_PACKS = [d for d in C.PACKAGES if not d.beyond_re2]
+#: Tags that close what they open need a back-reference; in SQL both names are taken and compared.
+_POM = "<([\\w.-]+)>([0-9]+\\.[0-9]+(?:\\.[0-9]+)?)</([\\w.-]+)>"
 
 
-@query(
-    "package_lines",
-    f"WITH {TEXTS} "
-    + "\nUNION ALL ".join(
-        f"SELECT id, {quoted(d.name)} AS kind, p.a AS package, p.b AS version FROM (SELECT id, unnest(list_distinct(list_transform("
-        f"list_zip(regexp_extract_all(text, {quoted(d.portable)}, 1), regexp_extract_all(text, {quoted(d.portable)}, 2)), lambda z: {{'a': z[1], 'b': z[2]}}))) AS p FROM texts)"
-        for d in _PACKS
-    ),
-)
+def _package_sql(d: C.Detector) -> str:
+    if d.name == "pom.xml":
+        got = f"list_transform(regexp_extract_all(text, {quoted(_POM)}), lambda m: regexp_extract(m, {quoted(_POM)}, ['a', 'b', 'c']))"
+        pairs = f"list_transform(list_filter({got}, lambda s: s.a = s.c), lambda s: {{'a': s.a, 'b': s.b}})"
+    else:
+        both = ", ".join(f"regexp_extract_all(text, {quoted(d.portable)}, {k})" for k in (1, 2))
+        pairs = f"list_transform(list_zip({both}), lambda z: {{'a': z[1], 'b': z[2]}})"
+    return f"SELECT id, {quoted(d.name)} AS kind, p.a AS package, p.b AS version FROM (SELECT id, unnest(list_distinct({pairs})) AS p FROM texts)"
+
+
+@query("package_lines", f"WITH {TEXTS} " + "\nUNION ALL ".join(map(_package_sql, C.PACKAGES)))
 def package_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.package_lines(texts(spark, sf_dir), **ON).where("kind != 'pom.xml'")
+    return code.package_lines(texts(spark, sf_dir), **ON)
 
 
 @query(
     "manifest_dependencies",
-    f"""WITH s AS ({SNIPPETS_SQL}), j AS (SELECT id, text::JSON AS j FROM s WHERE json_valid(text) AND contains(lower(text), 'dependencies')),
+    f"""WITH {TEXTS}, j AS (SELECT id, text::JSON AS j FROM texts WHERE json_valid(text) AND contains(lower(text), 'dependencies')),
 e AS (SELECT id, 1 AS o, unnest(json_keys(j, '$.dependencies')) AS package, j -> '$.dependencies' AS m FROM j
       UNION ALL SELECT id, 2, unnest(json_keys(j, '$.devDependencies')), j -> '$.devDependencies' FROM j),
 v AS (SELECT id, package, arg_max(m ->> package, o) AS version FROM e GROUP BY id, package)
 SELECT id, package, version, regexp_matches(version, '^[\\^~]0\\.|^\\*$|^>') AS loose FROM v""".replace("\\\\", "\\"),
 )
 def manifest_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.manifest(snippets(table(spark, sf_dir, "customer")), **ON)
+    return code.manifest(texts(spark, sf_dir), **ON)
 
 
 @query(
     "manifest_labels",
-    f"""WITH s AS ({SNIPPETS_SQL}), j AS (SELECT id, text::JSON AS j FROM s WHERE json_valid(text) AND contains(text, '"license"'))
+    f"""WITH {TEXTS}, j AS (SELECT id, text::JSON AS j FROM texts WHERE json_valid(text) AND contains(text, '"license"'))
 SELECT id, 'software_versions' AS category, unnest(['Package name: ' || (j ->> 'name'), 'Package version: ' || (j ->> 'version'), 'Package license: ' || (j ->> 'license')]) AS value FROM j""",
 )
 def manifest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = snippets(table(spark, sf_dir, "customer")).where(F.col("text").contains('"license"'))
+    held = texts(spark, sf_dir).where(F.col("text").contains('"license"'))
     return code.manifest_labels(held, **ON)
 
 
 @query("python_tree")
 def python_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_sources(snippets(table(spark, sf_dir, "customer")), **ON)
+    """Every text taken for Python: those that don't parse have that as their finding."""
+    return python_sources(texts(spark, sf_dir), **ON)
 
 
 # == network and API
@@ -453,7 +460,12 @@ def openapi_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.openapi_version(texts(spark, sf_dir), **ON)
 
 
-@query("json_status_samples")
+@query(
+    "json_status_samples",
+    f"""WITH {TEXTS}, {located_sql(C.JSON_STATUS)}, w AS (SELECT id, rule, substr(text, start + 1, 500) AS w FROM spots),
+e AS (SELECT *, list_filter(range(1, length(w) + 1), lambda i: w[i] = '}}' AND length(replace(substr(w, 1, i), '{{', '')) = length(replace(substr(w, 1, i), '}}', '')))[1] AS e FROM w)
+SELECT DISTINCT id, rule AS category, CASE WHEN e > 200 THEN left(w, 197) || '...' ELSE left(w, e) END AS value FROM e WHERE e IS NOT NULL""",
+)
 def json_status_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.json_samples(texts(spark, sf_dir), **ON)
 
@@ -466,9 +478,102 @@ def request_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 # == rollups
 
 
-@query("total_findings", f"WITH {FINDINGS} SELECT count(*) AS all_findings, count(*) AS findings, count(DISTINCT category) AS categories, count(DISTINCT id) AS sources FROM f")
+@query(
+    "total_findings",
+    f"""WITH {FINDINGS}, m AS (SELECT id, category, value FROM f UNION ALL SELECT id, 'file_metadata', 'size: ' || octet_length(encode(text)) FROM texts
+  UNION ALL SELECT id, 'runtime_errors', 'empty' FROM texts WHERE text = '')
+SELECT count(*) AS all_findings, count(*) FILTER (category NOT IN ('file_metadata', 'runtime_errors')) AS findings, count(DISTINCT category) AS categories,
+  count(DISTINCT id) AS sources, (SELECT count(*) FROM texts)::BIGINT AS analysed FROM m""",
+)
 def total_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.totals(core(spark, sf_dir))
+    """With metadata of every text and an error of each empty one, which don't count as findings."""
+    t = texts(spark, sf_dir)
+    size = F.concat(F.lit("size: "), F.octet_length("text").cast("string"))
+    metadata = t.select("id", F.lit("file_metadata").alias("category"), size.alias("value"))
+    errors = t.where("text = ''").select("id", F.lit("runtime_errors").alias("category"), F.lit("empty").alias("value"))
+    return R.totals(D.detect(t, **ON).unionByName(metadata).unionByName(errors), t)
+
+
+@query(
+    "severity_cube",
+    f"""WITH {FINDINGS}, n AS (SELECT category, {case_sql(C.SEVERITY_TABLE, 'Low')} AS severity, count(*) AS k FROM f GROUP BY category)
+SELECT severity, category, sum(k)::BIGINT AS findings FROM n GROUP BY CUBE (severity, category)""",
+)
+def severity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_severity(core(spark, sf_dir))
+
+
+@query(
+    "ranked_categories",
+    f"""WITH {FINDINGS}, n AS (SELECT category, {case_sql(C.SEVERITY_TABLE, 'Low')} AS severity, count(*) AS findings FROM f GROUP BY category)
+SELECT severity, category, findings, (rank() OVER (PARTITION BY severity ORDER BY findings DESC))::INT AS rank,
+  round((sum(findings) OVER (PARTITION BY severity ORDER BY findings DESC, category ROWS UNBOUNDED PRECEDING))::DOUBLE / sum(findings) OVER (PARTITION BY severity), 6) AS share,
+  lag(findings) OVER (PARTITION BY severity ORDER BY findings DESC, category) AS before FROM n""",
+)
+def ranked_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ranked(core(spark, sf_dir))
+
+
+@query("clean_texts", f"WITH {FINDINGS} SELECT id, length(text)::INT AS n FROM texts WHERE id NOT IN (SELECT id FROM f)")
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which no core detector finds anything: an anti join."""
+    t = texts(spark, sf_dir)
+    return R.without_findings(t, D.detect(t, **ON)).select("id", F.length("text").alias("n"))
+
+
+@query("texts_with_mail", f"WITH {TEXTS}, f AS ({detect_sql([C.CORE_BY_NAME['email']])}) SELECT id, length(text)::INT AS n FROM texts WHERE id IN (SELECT id FROM f)")
+def texts_with_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A semi join with the findings of one category."""
+    t = texts(spark, sf_dir)
+    return R.with_finding(t, D.detect(t, [C.CORE_BY_NAME["email"]], **ON), "email").select("id", F.length("text").alias("n"))
+
+
+_DOC_PAGE = f"""WITH p AS (SELECT page_id AS id, html AS text FROM pages), {DOCS}, a AS ({CORE_SQL.replace("FROM texts", "FROM docs")}), b AS ({CORE_SQL.replace("FROM texts", "FROM p")})"""
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = D.detect(table(spark, sf_dir, "documents")).select("category", "value")
+    pages = D.detect(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html").select("category", "value")
+    return docs, pages
+
+
+@query("shared_findings", f"{_DOC_PAGE} SELECT category, value FROM a INTERSECT SELECT category, value FROM b")
+def shared_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both documents and pages hold."""
+    docs, pages = _both(spark, sf_dir)
+    return docs.intersect(pages)
+
+
+@query("page_findings", f"{_DOC_PAGE} SELECT category, value FROM b EXCEPT SELECT category, value FROM a")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages hold and no document does."""
+    docs, pages = _both(spark, sf_dir)
+    return pages.subtract(docs)
+
+
+@query("value_spread", f"WITH {FINDINGS} SELECT category, count(DISTINCT value) AS values, true AS close FROM f GROUP BY category")
+def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different values a category, and whether the sketch's estimate is within four times its error."""
+    near = F.abs(F.col("about") - F.col("values")) <= F.greatest(F.lit(2), 0.08 * F.col("values"))
+    return R.value_spread(core(spark, sf_dir)).select("category", "values", near.alias("close"))
+
+
+@query(
+    "port_ranges",
+    f"""WITH {TEXTS}, ports AS (SELECT id, value, value::HUGEINT AS port FROM ({detect_sql([C._PORT])}) WHERE length(value) < 30 AND value::HUGEINT <= 65535)
+SELECT id, port::INT AS port, kind FROM ports JOIN (VALUES (0, 1023, 'well known'), (1024, 49151, 'registered'), (49152, 65535, 'dynamic')) AS r(lo, hi, kind) ON port BETWEEN lo AND hi""",
+)
+def port_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ports by the range that they lie in: a range join with three constants."""
+    rows = network.ports(texts(spark, sf_dir), **ON)
+    return rows.select("id", "port", network.port_range(F.col("port")).alias("kind"))
+
+
+@query("tenth_of_texts", f"WITH {TEXTS} SELECT id, length(text)::INT AS n FROM texts WHERE ('0x' || substr(md5(id), 1, 5))::BIGINT < 104857")
+def tenth_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts by a hash of their id: the sample is the feature."""
+    place = F.conv(F.substring(F.md5("id"), 1, 5), 16, 10).cast("bigint")
+    return texts(spark, sf_dir).where(place < 104857).select("id", F.length("text").alias("n"))
 
 
 @query("top_categories", f"WITH {FINDINGS} SELECT category, count(*) AS findings FROM f GROUP BY category ORDER BY findings DESC, category LIMIT 10")
@@ -512,15 +617,12 @@ def dense_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense(D.detect(table(spark, sf_dir, "documents")), [d.name for d in C.CORE])
 
 
-_LISTED = [C.CORE_BY_NAME[n] for n in ("email", "ipv4", "credit_card", "hash", "url")]
-
-
 @query(
     "value_order",
-    f"""WITH {TEXTS}, f AS ({detect_sql(_LISTED, checks=VALID)}) SELECT id, category, string_agg(value, chr(10) ORDER BY length(value), value) AS listed FROM f GROUP BY id, category""",
+    f"""WITH {TEXTS}, f AS ({CORE_SQL}) SELECT id, category, string_agg(value, chr(10) ORDER BY length(value), value) AS listed FROM f GROUP BY id, category""",
 )
 def value_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = R.sorted_values(D.detect(texts(spark, sf_dir), _LISTED, **ON))
+    lists = R.sorted_values(core(spark, sf_dir))
     return lists.select("id", "category", F.array_join("values", "\n").alias("listed"))
 
 
@@ -535,21 +637,24 @@ def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "labelled_findings",
-    f"""WITH {DOC_FINDINGS}, n AS (SELECT id, count(*) AS k FROM f WHERE category IN ('email', 'ipv4', 'credit_card', 'hash') GROUP BY id)
+    f"""WITH {DOC_FINDINGS}, n AS (SELECT id, count(*) AS k FROM f GROUP BY id)
 SELECT quality, toxic, count(*) AS documents, coalesce(sum(k), 0)::BIGINT AS findings FROM labels LEFT JOIN n ON id = doc_id GROUP BY quality, toxic""",
 )
 def labelled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = [C.CORE_BY_NAME[n] for n in ("email", "ipv4", "credit_card", "hash")]
-    counts = D.detect(table(spark, sf_dir, "documents"), kept).groupBy("id").agg(F.count("*").alias("k"))
+    counts = D.detect(table(spark, sf_dir, "documents")).groupBy("id").agg(F.count("*").alias("k"))
     joined = table(spark, sf_dir, "labels").join(counts, F.col("doc_id") == F.col("id"), "left")
     return joined.groupBy("quality", "toxic").agg(F.count("*").alias("documents"), F.coalesce(F.sum("k"), F.lit(0)).alias("findings"))
 
 
-@query("json_report")
+@query(
+    "json_report",
+    f"""WITH {TEXTS}, f AS ({CORE_SQL}), v AS (SELECT id, category, list(DISTINCT value ORDER BY value) AS vs FROM f GROUP BY id, category)
+SELECT id, '{{' || string_agg(to_json(category) || ':' || to_json(vs), ',' ORDER BY category) || '}}' AS json FROM v GROUP BY id""",
+)
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import as_json
 
-    return as_json(D.detect(texts(spark, sf_dir), _LISTED, **ON))
+    return as_json(core(spark, sf_dir))
 
 
 # == sources
@@ -591,10 +696,12 @@ def binary_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "control_characters",
-    "SELECT doc_id, doc_id % 3 = 0 AS binary FROM documents",
+    r"""SELECT doc_id, regexp_matches(text || chr((1 + doc_id % 200)::INT), '[\x00-\x08\x0e-\x1f\x7f-\x{84}\x{86}-\x{9f}]') AS binary FROM documents""",
 )
 def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = F.when(F.col("doc_id") % 3 == 0, F.lit("\x01")).otherwise(F.lit("\t"))
+    """Documents with one character more, which for some of them is a control character."""
+    marks = F.array(*(F.lit(chr(k)) for k in range(1, 201)))
+    mark = F.get(marks, (F.col("doc_id") % 200).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", T.looks_binary(F.concat("text", mark)).alias("binary"))
 
 
@@ -621,10 +728,54 @@ def file_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # == windows
 
 
+_STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def stamped(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, _STAMP) for c in columns})
+
+
 @query(
     "windowed_events",
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = windowed_counts(table(spark, sf_dir, "events"))
-    return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    """Run as a stream to its end, with its state in a checkpoint; the last state is what is read."""
+    place = files.shared_folder(spark, "windows")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    run_to_table(windowed_counts(events), f"{place}/table", f"{place}/checkpoint")
+    return stamped(spark.read.parquet(f"{place}/table"), "start")
+
+
+@query(
+    "sliding_events",
+    """SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM
+  (SELECT event_type, unnest([time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' for k in range(4)]) AS start FROM events) GROUP BY 1, 2""",
+)
+def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that begin every 15 minutes."""
+    return stamped(windowed_counts(table(spark, sf_dir, "events"), slide="15 minutes"), "start")
+
+
+@query(
+    "session_events",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL '30 minutes', '%Y-%m-%d %H:%M:%S') AS end, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamped(session_counts(table(spark, sf_dir, "events")), "start", "end")
+
+
+@query(
+    "purchase_after_click",
+    """WITH c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT p.event_id, p.user_id, c.value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""",
+)
+def purchase_after_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the value of its user's latest click before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", "value")
+    return latest_before(bought, clicks, key_col="user_id", ts_col="ts", value_col="value").drop("ts")

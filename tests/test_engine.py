@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery import engine
+from gleanery import cli, engine
 from gleanery.functions import text as T
 from gleanery.operators import api, code, network
 from gleanery.operators import detect as D
@@ -67,6 +69,31 @@ def test_places_equal_python(spark):
     assert {(r.value, r.start, r.line) for r in found} == want and len(found) == len(want)
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches: no text is repeated for a match, no list is copied for one."""
+    text = "é a@b.com\n" * 100_000
+    began = time.monotonic()
+    rows = D.smells(texts(spark, [text]), [C.CORE_BY_NAME["email"]], around=3)
+    (got,) = rows.groupBy("context").agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 1").collect()
+    assert (got.n, got.line) == (99_999, 100_000) or (got.n, got.line) == (99_999, 99_999)
+    assert time.monotonic() - began < 60
+
+
+def test_windows_and_lines_equal_python(spark):
+    rng = random.Random(3)
+    samples = ["".join(rng.choices("ab@.c \né", k=n)) + " x@y.zz " + "q" * rng.randint(0, 30) for n in (0, 5, 90, 990, 1010, 2500, 5000)]
+    samples.append("x@y.zz" + "\n" * 999 + "a" * 2000 + "@b.cc")
+    rx = re.compile(C.CORE_BY_NAME["email"].portable)
+    for before, after in ((0, 0), (20, 20), (0, 1500), (1500, 0)):
+        rows = D.located(texts(spark, samples), [C.CORE_BY_NAME["email"]], window=(before, after), whole_line=True).collect()
+        want = [
+            (i, m.group(), m.start(), s[: m.start()].count("\n") + 1, s[max(m.start() - before, 0) : m.end() + after],
+             s[s.rfind("\n", 0, m.start()) + 1 :].split("\n")[0])
+            for i, s in enumerate(samples) for m in rx.finditer(s)
+        ]
+        assert sorted((r.id, r.value, r.start, r.line, r.window, r.whole) for r in rows) == sorted(want) and want
+
+
 def test_nulls_empties_partitions(spark):
     df = texts(spark, [None, "", "mail a@b.com", "mail a@b.com", "x" * 500_000 + " c@d.org"])
     one = sorted(tuple(r) for r in D.detect(df.coalesce(1)).collect())
@@ -146,6 +173,8 @@ def test_python_tree():
         "dangerous import", "dangerous call", "sensitive parameter without type", "hardcoded value", "sensitive file",
         "write to absolute path", "subprocess with shell", "SQL by formatting",
     }
+    poor = "".join(f"x{i} = (a{i} + b{i}) * c{i} - d{i} if e{i} > {i} and f{i} else g{i} % {i + 1}\n" for i in range(80))
+    assert [r[1] for r in inspect(poor)] == ["low maintainability"]
     assert inspect("def (")[0][:2] == ("code_quality", "syntax error") and inspect("") == [] and inspect("x = 1\0")
     branchy = "def g(x):\n" + "".join(f"    if x == {i}: pass\n" for i in range(12))
     assert ("code_complexity", "high complexity", 1, "g 13") in inspect(branchy)
@@ -210,12 +239,84 @@ def test_registry(spark):
     assert r.names() == []
 
 
+def test_one_scan_for_all_analysers(spark, tmp_path):
+    spark.createDataFrame([("a.py", "mail a@b.com port: 22", "text")], "path string, text string, file_type string").write.parquet(str(tmp_path / "d"))
+    found = engine.analyse(spark.read.parquet(str(tmp_path / "d")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {("a.py", "email", "a@b.com"), ("a.py", "network_ports", "22")} <= {tuple(r) for r in found.collect()}
+
+
+def test_failing_analysers_give_errors(spark):
+    docs = spark.createDataFrame([("a.py", "x", "text"), ("b.py", "y", "text"), ("c.txt", None, "text")], "path string, text string, file_type string")
+
+    def build():
+        raise RuntimeError("no luck")
+
+    def find(text):
+        return [("c", text)] if text == "x" else 1 / 0
+
+    every = lambda: F.lit(True)
+    r = engine.Registry(
+        [
+            engine.Analyzer("bad", entries=build),
+            engine.Analyzer("lost", entries=lambda: F.col("no_such_column")),
+            engine.Analyzer("odd", lambda d: d.select("nothing")),
+            engine.Analyzer("half", entries=engine.python_entries("half", find, every)),
+            engine.Analyzer("good", entries=lambda: F.array(D.finding("g", F.col("text")))),
+        ]
+    )
+    got = sorted(tuple(x) for x in r.run(docs).where("category != 'runtime_errors'").collect())
+    assert got == [("a.py", "c", "x"), ("a.py", "g", "x"), ("b.py", "g", "y")]
+    errors = {(x.id, x.value.split(":")[0]) for x in r.run(docs).where("category = 'runtime_errors'").collect()}
+    assert errors == {(None, "bad"), (None, "lost"), (None, "odd"), ("b.py", "half")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("mail a@b.com password='hunter2hunter2'")
+    (folder / "b.log").write_text("x@y.zz")
+    plug = tmp_path / "plug"
+    plug.mkdir()
+    (plug / "own.py").write_text("from gleanery import engine\nfrom gleanery.operators import detect as D\nfrom pyspark.sql import functions as F\n\ndef register(r):\n    r.register(engine.Analyzer('own', entries=lambda: F.array(D.finding('own', F.lit('seen')))))\n")
+    (plug / "broken.py").write_text("raise ValueError\n")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"exclude": ["*.log"], "summary-only": True}))
+    out = tmp_path / "out"
+    args = ["--dir", str(folder), "--config", str(config), "--output-dir", str(out), "--json", "j", "--csv", "c", "--html", "p.html", "--plugin-dir", str(plug), "--log-file", str(tmp_path / "log")]
+    assert cli.main(args) == 0
+    said = capsys.readouterr().out
+    assert "Files analysed: 1" in said and "Seconds:" in said and "a@b.com" not in said
+    assert spark.read.json(str(out / "j")).count() == 1 and spark.read.option("header", True).csv(str(out / "c")).count() > 2
+    html = (out / "p.html").read_text()
+    assert "<dt>Sources analysed</dt><dd>1</dd>" in html and "hunter2hunter2" not in html and "seen" in html
+    assert "plug-in" in (tmp_path / "log").read_text() and "analysis took" in (tmp_path / "log").read_text()
+    assert cli.main(["--dir", str(folder), "--include", "*.none"]) == 1
+    assert cli.main(["--version"]) == 0
+    assert cli.main([str(folder / "a.txt"), "--analyzers", "no-such"]) == 1
+
+
+def test_sections_of_the_page(spark):
+    rows = [("a", "file_metadata", "size: 1"), (None, "runtime_errors", "x: <b>"), ("a", "email", "a@b.cc"), ("a", "api_endpoint", "/api/x")]
+    html = sinks.page(spark.createDataFrame(rows, "id string, category string, value string"), analysed=3, seconds=1.5)
+    for part in ("class='metadata'", "class='errors'", "class='api'", "x: &lt;b&gt;", "<dt>Total findings</dt><dd>2</dd>", "<dd>3</dd>", "<dd>1.50</dd>"):
+        assert part in html, part
+    assert json.loads(sinks.to_plain_json(spark.createDataFrame(rows, "id string, category string, value string")))["email"] == ["a@b.cc"]
+
+
 def test_rollups(spark):
     f = spark.createDataFrame(
         [("a", "email", "x@y.zz"), ("a", "password", "p"), ("b", "email", "a@b.cc"), ("b", "file_metadata", "size: 1"), ("b", "api_key_param", "k")],
         "id string, category string, value string",
     )
     assert R.totals(f).first().asDict() == {"all_findings": 5, "findings": 4, "categories": 4, "sources": 2}
+    assert R.totals(f, spark.range(7)).first().asDict()["analysed"] == 7
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
+    assert sorted(r.id or "-" for r in R.without_findings(ids, f).collect()) == ["-", "c"]
+    assert [r.id for r in R.with_finding(ids, f, "password").collect()] == ["a"]
+    cube = {(r.severity, r.category): r.findings for r in R.by_severity(f).collect()}
+    assert cube[None, None] == 5 and cube[None, "email"] == 2 and cube["High", None] == 1
+    assert {(r.category, r.values, r.about) for r in R.value_spread(f).collect()} >= {("email", 2, 2)}
     assert [r.category for r in R.top_categories(f, 2).collect()] == ["email", "api_key_param"]
     groups = {(r.display_group, r.category): r.findings for r in R.by_group(f).collect()}
     assert groups["API & Keys", "api_key_param"] == groups["API Information", "api_key_param"] == 1 and groups[None, None] == 6
@@ -245,3 +346,19 @@ def test_streams(spark, tmp_path):
     q = stream.distinct_findings(live, [C.CORE_BY_NAME["email"]], within="1 day").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("seen").count() == 1
+
+    counts = stream.windowed_counts(live, key_col="path")
+    stream.run_to_table(counts, str(tmp_path / "table"), str(tmp_path / "ck2"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+    # Late rows: what lies behind the watermark is dropped, sessions close with it.
+    sessions = stream.session_counts(live.withColumn("k", F.lit(1)), key_col="k", gap="30 minutes")
+    stream.run_to_table(sessions, str(tmp_path / "sessions"), str(tmp_path / "ck3"), mode="append")
+    assert spark.read.parquet(str(tmp_path / "sessions")).count() == 2  # the last one is still open
+
+
+def test_latest_before(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    left = spark.createDataFrame([("a", at(5), 1), ("a", at(1), 2), ("b", at(9), 3), ("a", at(3), 4)], "k string, ts timestamp, n int")
+    right = spark.createDataFrame([("a", at(3), 10.0), ("a", at(3), 11.0), ("a", at(6), 12.0), ("c", at(1), 13.0)], "k string, ts timestamp, v double")
+    got = stream.latest_before(left, right, key_col="k", ts_col="ts", value_col="v")
+    assert {(r.n, r.v) for r in got.collect()} == {(1, 11.0), (2, None), (3, None), (4, 11.0)}
