@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"\w+")
+_BEYOND_LATIN = re.compile("[\u0300-\U0010ffff]")
+
+
+@lru_cache(maxsize=1)
+def combining_marks() -> str:
+    """All combining marks as ranges of a character class."""
+    marks = [k for k in range(0x300, 0x20000) if unicodedata.category(chr(k))[0] == "M"]
+    cuts = [k for k, (x, y) in enumerate(pairwise(marks), 1) if y != x + 1]
+    return "".join(f"{chr(marks[i])}-{chr(marks[j - 1])}" for i, j in pairwise([0, *cuts, len(marks)]))
+
+
+class Finder:
+    """Runs of characters of a class, with the combining marks among them.
+
+    Python's word classes leave marks out, so words of Indic scripts would fall
+    apart.  Texts without a mark, which are most, take the fast plain expression.
+    """
+
+    def __init__(self, plain: str) -> None:
+        self.plain, self.full = re.compile(plain), None
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not _BEYOND_LATIN.search(text):
+            return self.plain.findall(text)
+        if self.full is None:
+            marks = combining_marks()
+            self.mark = re.compile(f"[{marks}]")
+            self.full = re.compile(rf"(?:{self.plain.pattern}|[{marks}]+)+")
+        return (self.full if self.mark.search(text) else self.plain).findall(text)
+
+
+_find_words = Finder(r"\w+")
 
 #: Upper bound on memoised words per Python worker; the memo restarts beyond it.
 MEMO_WORDS = 1_000_000
@@ -23,7 +57,7 @@ MEMO_WORDS = 1_000_000
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of word characters of the whole text (null gives none)."""
-    return _WORD.findall(text.lower()) if text else []
+    return _find_words(text.lower()) if text else []
 
 
 class WordHash(dict):
@@ -41,6 +75,92 @@ def hash_words(tokens: list[str], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
+#: Code points from here on are letters (rare Han) but for tags and selectors.
+_TABLE = 0x20000
+#: Tokens up to this many characters are hashed all at once, longer ones singly.
+_LONG_TOKEN = 1024
+#: Longer texts are hashed in pieces, cut at white space.
+_PIECE = 1 << 21
+_SPACE = re.compile(r"\s")
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code point of every word character, 0 of others; powers of the hash."""
+    marks = re.compile(f"[{combining_marks()}]")
+    low = np.zeros(_TABLE + 1, np.uint32)
+    for k in range(_TABLE):
+        c = chr(k)
+        if c.isalnum() or c == "_" or k >= 0x300 and marks.match(c):
+            low[k] = ord(x) if len(x := c.lower()) == 1 else k
+    powers = np.full(_LONG_TOKEN, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    return low, np.multiply.accumulate(powers)
+
+
+def _hash_piece(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every token, in characters."""
+    table, powers = _tables()
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(cp) and cp.max() >= _TABLE:
+        low = table[np.minimum(cp, _TABLE)]
+        low = np.where((cp >= _TABLE) & (cp < 0xE0000), cp, low)
+    else:
+        low = table[cp]
+    word = low != 0
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    length = ends - starts
+    kept = low[word].astype(np.uint64)
+    first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    place = np.arange(len(kept)) - np.repeat(first, length)
+    out = np.add.reduceat(kept * powers[np.minimum(place, _LONG_TOKEN - 1)], first)
+    out = mix64(out + length.astype(np.uint64))
+    for k in np.flatnonzero(length > _LONG_TOKEN):
+        out[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]].tobytes())
+    return starts, out
+
+
+def hash_texts(texts: list[str | None]) -> list[np.ndarray]:
+    """The token hashes of every text, as of the words that ``words`` finds.
+
+    All texts of the list are hashed in one go (lower case is taken code point by
+    code point), which is some ten times as fast as word by word.
+    """
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        if len(t) > _PIECE:
+            parts, at = [], 0
+            while at < len(t):
+                cut = _SPACE.search(t, at + _PIECE)
+                end = cut.end() if cut else len(t)
+                parts.append(_hash_piece(t[at:end])[1])
+                at = end
+            out[k] = np.concatenate(parts)
+            continue
+        held.append(k)
+        size += len(t)
+        if size > _PIECE:
+            _hash_held(texts, held, out)
+            held, size = [], 0
+    _hash_held(texts, held, out)
+    return out
+
+
+def _hash_held(texts: list[str | None], held: list[int], out: list[np.ndarray]) -> None:
+    if not held:
+        return
+    starts, hashes = _hash_piece("\n".join(texts[k] for k in held))
+    ends = np.cumsum([len(texts[k]) + 1 for k in held])
+    for k, part in zip(held, np.split(hashes, np.searchsorted(starts, ends[:-1]))):
+        out[k] = part
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective avalanche of uint64 values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -52,10 +172,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=32)
 def odd_multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 
 
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of every text."""
+    return [distinct(shingle_hashes(h, width)) for h in hash_texts(texts)]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted different values; ``x`` is sorted in place."""
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_hashes(token_hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` tokens; one for the whole when shorter."""
     n = len(token_hashes)
@@ -92,36 +224,41 @@ def byte_slices(batch: pa.RecordBatch, column: str, target: int) -> Iterator[pa.
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables under ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and set, since no cluster-wide folder is known then.
+    Where that setting is absent, a local master (tests, a laptop) gets a temporary
+    folder; on a cluster no folder is known that all machines share: an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or "file://" + tempfile.mkdtemp(prefix="gleanery-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there.
 
-    Written files survive the loss of any executor, unlike cached blocks.
+    Written files survive the loss of any executor, unlike cached blocks.  Tables
+    made before that nothing needs any more once this one is written (``spent``)
+    are deleted.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    drop_tables(spark, *spent)
+    return out
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete intermediate tables made by ``materialise``."""
+    """Delete tables that ``materialise`` has returned; other frames are left alone."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for folder in {f._written_to for f in frames if "_written_to" in vars(f)}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -87,18 +87,21 @@ def solve_lambda(values: np.ndarray, probs: np.ndarray) -> float:
     return hi
 
 
-def maximal_segments(positions: list[int], scores: list[float], drift: float, n: int) -> list[tuple[int, int, float]]:
+def maximal_segments(
+    positions: list[int], scores: list[float], drift: float, ends: list[int] | None = None
+) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), end exclusive.
 
-    ``positions`` and ``scores`` are the tokens that score above zero; every
-    other of the ``n`` tokens scores ``-drift``.  Amortised linear time.
+    ``positions`` and ``scores`` are the tokens that score above zero, or runs of
+    them up to ``ends`` with their sums; every other token scores ``-drift``.
+    Amortised linear time.
     """
     found: list[list[float]] = []  # start, end, left sum, right sum
-    total, last = 0.0, -1
-    for at, s in zip(positions, scores):
-        total -= drift * (at - last - 1)
-        left, total, last = total, total + s, at
-        cur = [at, at + 1, left, total]
+    total, last = 0.0, 0
+    for at, end, s in zip(positions, ends or [p + 1 for p in positions], scores):
+        total -= drift * (at - last)
+        left, total, last = total, total + s, end
+        cur = [at, end, left, total]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= cur[2]:
@@ -136,7 +139,7 @@ def score_tokens(model: ToxicityModel, tokens: list[str]) -> tuple[list[tuple[in
     pos = [i for i, t in enumerate(tokens) if t in table]
     if not pos:
         return [], 1.0
-    found = maximal_segments(pos, [table[tokens[i]] - model.drift for i in pos], model.drift, n)
+    found = maximal_segments(pos, [table[tokens[i]] - model.drift for i in pos], model.drift)
     segments = [(a, b, s, expected_equals(model, n, s)) for a, b, s in found]
     return segments, poisson_p([e for *_, e in segments])
 
