@@ -7,7 +7,7 @@ so nothing is sampled.  A document is compared by the Jensen-Shannon distance
 (square root of the divergence in bits, 0 to 1).  Histograms of short documents
 scatter: under ``min_chars`` or ``min_words`` that distance is null and doesn't
 count against the document.  A document is rejected when a distance exceeds its
-limit.
+limit; that of words is derived from the language's reference.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +109,42 @@ def references(docs: DataFrame, top_words: int) -> dict[str | None, tuple[np.nda
     return out
 
 
+def word_limits(refs: dict, word_share: float) -> dict[str | None, float]:
+    """lang -> limit of the word distance: a share of that of a text without one common word."""
+    out = {}
+    for lang, (_, _, bins) in refs.items():
+        none = np.zeros(len(bins))
+        none[-1] = 1.0
+        out[lang] = round(word_share * js_distance(none, bins), 6) if bins.sum() else 1.0
+    return out
+
+
+class Judge:
+    """Lengths, distances and verdict of one text, against its language's references."""
+
+    def __init__(self, refs: dict, min_chars: int, min_words: int, max_char: float, word_share: float) -> None:
+        self.refs, self.limits = refs, word_limits(refs, word_share)
+        self.min_chars, self.min_words, self.max_char = min_chars, min_words, max_char
+
+    def __call__(self, lang: str | None, text: str | None) -> tuple[int, int, float | None, float | None, bool]:
+        if not text:
+            return 0, 0, None, None, True
+        found = _WORD.findall(text.lower())
+        chars, bin_of, bins = self.refs[lang]
+        char = word = None
+        if len(text) >= self.min_chars:
+            char = round(js_distance(class_counts(text), chars), 6)
+        if len(found) >= max(1, self.min_words):
+            last = len(bins) - 1
+            word = round(js_distance(np.bincount([bin_of.get(w, last) for w in found], minlength=len(bins)), bins), 6)
+        keep = (char is None or char <= self.max_char) and (word is None or word <= self.limits[lang])
+        return len(text), len(found), char, word, keep
+
+
+def _judge(docs: DataFrame, text_col: str, lang_col: str, top_words: int, *limits) -> Judge:
+    return Judge(references(docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")), top_words), *limits)
+
+
 def divergence(
     docs: DataFrame,
     *,
@@ -118,56 +155,64 @@ def divergence(
     min_chars: int = 200,
     min_words: int = 50,
     max_char: float = 0.3,
-    max_word: float = 0.55,
+    word_share: float = 0.93,
 ) -> DataFrame:
     """(id, lang, n_chars, n_words, char_jsd, word_jsd, keep) for every row.
 
-    Distances are rounded to 6 places.  Null and empty texts have length 0, null
-    distances and are kept; a null language has its own reference; repeated rows
-    count and are judged one by one; other columns are not read.
+    The limit of the word distance is each language's own: ``word_share`` of the
+    distance that a text without any common word has, so gibberish and texts in
+    another language exceed it.  Distances are rounded to 6 places.  Null and
+    empty texts have length 0, null distances and are kept; a null language has
+    its own reference; repeated rows count and are judged one by one; ids and
+    other columns are not read, so null ids and ties are harmless; an empty table
+    stays empty.
     """
+    judge = _judge(docs, text_col, lang_col, top_words, min_chars, min_words, max_char, word_share)
     src = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
-    refs = references(src.select("lang", "text"), top_words)
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+    names = ["id", "lang", "n_chars", "n_words", "char_jsd", "word_jsd", "keep"]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in byte_slices(whole, "text", 4 << 20):
-                chars, words, cd, wd = [], [], [], []
-                for lang, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found = _WORD.findall(t.lower()) if t else []
-                    chars.append(len(t) if t else 0)
-                    words.append(len(found))
-                    ref_c, bin_of, ref_w = refs[lang] if t else (None, {}, None)
-                    cd.append(round(js_distance(class_counts(t), ref_c), 6) if t and len(t) >= min_chars else None)
-                    if t and len(found) >= max(1, min_words):
-                        last = len(ref_w) - 1
-                        hist = np.bincount([bin_of.get(w, last) for w in found], minlength=len(ref_w))
-                        wd.append(round(js_distance(hist, ref_w), 6))
-                    else:
-                        wd.append(None)
-                keep = [(c is None or c <= max_char) and (w is None or w <= max_word) for c, w in zip(cd, wd)]
+                cols = list(zip(*map(judge, part.column(1).to_pylist(), part.column(2).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array(chars, pa.int64()), pa.array(words, pa.int64()),
-                        pa.array(cd, pa.float64()), pa.array(wd, pa.float64()), pa.array(keep, pa.bool_()),
-                    ],
-                    ["id", "lang", "n_chars", "n_words", "char_jsd", "word_jsd", "keep"],
-                )
+                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names
+                )
 
     kind = src.schema["id"].dataType.simpleString()
     out = src.mapInArrow(
-        judge, f"id {kind}, lang string, n_chars bigint, n_words bigint, char_jsd double, word_jsd double, keep boolean"
+        run, f"id {kind}, lang string, n_chars bigint, n_words bigint, char_jsd double, word_jsd double, keep boolean"
     )
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_close(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are kept, columns as given; a null id stays."""
-    gone = divergence(docs, id_col=id_col, **options).where("not keep").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def keep_close(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    top_words: int = 50,
+    min_chars: int = 200,
+    min_words: int = 50,
+    max_char: float = 0.3,
+    word_share: float = 0.93,
+) -> DataFrame:
+    """The documents that are kept, columns as given.
+
+    Every row is judged in place by an Arrow predicate, so null, repeated or
+    clashing ids change nothing; empty texts and tables pass through.
+    """
+    judge = _judge(docs, text_col, lang_col, top_words, min_chars, min_words, max_char, word_share)
+
+    @F.pandas_udf("boolean")
+    def keep(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([judge(g, t)[-1] for g, t in zip(langs, texts)], dtype=bool)
+
+    return docs.where(keep(docs[lang_col].cast("string"), docs[text_col]))
 
 
-def oracle(top_words: int = 50, min_chars: int = 200, min_words: int = 50, max_char: float = 0.3, max_word: float = 0.55) -> str:
+def oracle(top_words: int = 50, min_chars: int = 200, min_words: int = 50, max_char: float = 0.3, word_share: float = 0.93) -> str:
     """DuckDB SQL for the rows of ``divergence`` with these parameters."""
     points = ".,;:!?''\"\\-()"
     single = {
@@ -197,12 +242,14 @@ wc AS (SELECT doc_id, lang, w, count(*) AS n FROM w GROUP BY ALL),
 wt AS (SELECT doc_id, lang, sum(n) AS n_words FROM wc GROUP BY ALL),
 wr AS (SELECT lang, w, sum(n) AS m, sum(sum(n)) OVER (PARTITION BY lang) AS mt, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, w) AS rk FROM wc GROUP BY lang, w),
 top AS (SELECT lang, w, m, mt FROM wr WHERE rk <= {top_words}),
+lim AS (SELECT lang, round({word_share} * sqrt((log2(2 / (1 + q)) + 1 - q + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END) / 2), 6) AS most
+  FROM (SELECT lang, 1 - sum(m) / any_value(mt) AS q FROM top GROUP BY lang)),
 tops AS (SELECT lang, w, m / mt AS q FROM top UNION ALL SELECT lang, NULL, 1 - sum(m) / any_value(mt) FROM top GROUP BY lang),
 hit AS (SELECT doc_id, lang, top.w AS w, sum(n) AS n FROM wc LEFT JOIN top USING (lang, w) GROUP BY ALL),
 wj AS (SELECT wt.doc_id, {js("p", "q")} AS d FROM (
    SELECT wt.doc_id, coalesce(n, 0) / n_words AS p, q FROM wt JOIN tops USING (lang)
    LEFT JOIN hit ON hit.doc_id = wt.doc_id AND hit.w IS NOT DISTINCT FROM tops.w WHERE n_words >= {min_words}) wt GROUP BY wt.doc_id)
 SELECT doc_id, documents.lang, length(text) AS n_chars, coalesce(n_words, 0)::BIGINT AS n_words, round(cj.d, 6) AS char_jsd, round(wj.d, 6) AS word_jsd,
-  coalesce(round(cj.d, 6) <= {max_char}, true) AND coalesce(round(wj.d, 6) <= {max_word}, true) AS keep
-FROM documents LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id) LEFT JOIN wt USING (doc_id)
+  coalesce(round(cj.d, 6) <= {max_char}, true) AND coalesce(round(wj.d, 6) <= lim.most, true) AS keep
+FROM documents LEFT JOIN cj USING (doc_id) LEFT JOIN wj USING (doc_id) LEFT JOIN wt USING (doc_id) LEFT JOIN lim ON lim.lang = documents.lang
 """
