@@ -36,7 +36,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sharding.shard(table(spark, sf_dir, "documents"))
+    """All rows in shards, written and read back."""
+    return _sharding.write_shards(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
