@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 GZIP = 31  # zlib window bits that mean a gzip header
 END = b"\r\n\r\n"
+_FIRST_LINE = re.compile(rb"WARC/[0-9]\.[0-9]{1,2}\r\n")
+_LONGEST_LINE = 16
 
 INDEX_SCHEMA = (
     "file string, number int, offset bigint, length bigint, record_type string, record_id string, uri string, "
@@ -118,37 +120,64 @@ class Buffer:
         del self.held[:n]
         return out
 
-    def header(self, most: int = 1 << 20) -> bytes | None:
-        """Up to and with the empty line; None at the end or beyond ``most`` bytes."""
+    def to_record(self) -> int:
+        """Drop bytes up to the next first line of a header; how many weren't line ends.
+
+        At the end of the stream nothing is held any more.  Whatever the length of
+        what is dropped, a chunk of it is held at a time.
+        """
+        dropped = 0
+        while True:
+            found = _FIRST_LINE.search(self.held)
+            ended = not found and len(self.held) < CHUNK and not self.more()
+            if found or ended or len(self.held) >= CHUNK:
+                keep = found.start() if found else len(self.held) if ended else len(self.held) - _LONGEST_LINE
+                gone = self.take(keep)
+                dropped += len(gone) - gone.count(b"\r") - gone.count(b"\n")
+                if found or ended:
+                    return dropped
+
+    def header(self, most: int) -> bytes | None:
+        """Up to and with the empty line; None where the stream ends first or it is over ``most`` bytes."""
+        seen = 0
         while True:
-            skip = len(self.held) - len(self.held.lstrip(b"\r\n"))
-            del self.held[:skip]
-            at = self.held.find(END)
+            at = self.held.find(END, seen)
             if at >= 0:
                 return self.take(at + len(END))
+            seen = max(0, len(self.held) - len(END))
             if len(self.held) > most or not self.more():
                 return None
 
 
-def rewrite(pieces: Iterator[bytes], write: Callable[[bytes], object], level: int) -> Iterator[tuple]:
+def rewrite(pieces: Iterator[bytes], write: Callable[[bytes], object], level: int, longest_header: int = 64 << 20) -> Iterator[tuple]:
     """Write each record as a member; yields its index fields without the file.
 
     A record that the stream's damage cuts short keeps what was there and is
-    marked incomplete; what can't be read as a record any more gives a last row
-    with ``error`` and no offset.
+    marked incomplete.  Bytes that belong to no record give a row with ``error``
+    and no offset, and the search goes on to the next first line of a header: one
+    bad header costs no record behind it.  A header must be held to be
+    read; one over ``longest_header`` bytes counts as bad.
     """
     buf, at, number = Buffer(pieces), 0, 0
+    bad = lambda what: (number, None, None, None, None, None, None, False, what)
     while True:
-        head = buf.header()
-        if head is None:
-            if buf.error or buf.held:
-                yield number, None, None, None, None, None, None, False, buf.error or "no record header"
+        if lost := buf.to_record():
+            yield bad(buf.error or ("no record header" if not (number or buf.held) else f"{lost} bytes of no record"))
+            number += 1
+        elif buf.error:
+            yield bad(buf.error)
+        if not buf.held:
             return
-        fields = parse_header(head)
+        head = buf.header(longest_header)
+        fields = parse_header(head) if head is not None else {}
         size = fields.get("content-length", "")
-        if not head.startswith(b"WARC/") or not size.isascii() or not size.isdigit():
-            yield number, None, None, None, None, None, None, False, "no record header"
-            return
+        if not size.isascii() or not size.isdigit():
+            if head is not None:
+                buf.held[:0] = head  # another first line may stand further on in it
+            buf.take(len(_FIRST_LINE.match(buf.held)[0]))
+            yield bad(buf.error or "no record header")
+            number += 1
+            continue
         z, start, left = zlib.compressobj(level, zlib.DEFLATED, GZIP), at, int(size)
         at += write(z.compress(head))
         while left and (buf.held or buf.more()):
