@@ -23,7 +23,6 @@ fail it are searched.
 from __future__ import annotations
 
 import bisect
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, byte_slices
+from .common import MEMO_WORDS, Finder, byte_slices
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_letters = Finder(r"[^\W\d_]+")
 
 #: First code point of each range, in order, with the range's script.
 SCRIPTS = (
@@ -185,8 +184,12 @@ def label_words(s: np.ndarray, penalty: float) -> list[tuple[int, int, int]]:
     sums = np.zeros((n + 1, len(used)))
     np.cumsum(s, axis=0, out=sums[1:])
     best = int(sums[-1].argmax())
+    # What other labels gain over the best one: within one run of words, which costs
+    # two switches or at an end one; runs at both ends with none of the best label
+    # between them save one switch.  Where neither pays, one label is optimal.
     gain = sums - sums[:, best : best + 1]
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    within = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    if within <= penalty and gain.max() + (gain[-1] - gain).max() <= penalty:
         return [(0, n, int(used[best]))]
     path = np.array(viterbi(s.tolist(), penalty))
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [n]))
@@ -230,7 +233,7 @@ def train(
             for part in byte_slices(whole, "text", 4 << 20):
                 seen: dict[tuple[str, str], int] = {}
                 for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for w in _LETTERS.findall(t.lower()):
+                    for w in _letters(t.lower()):
                         seen[lang, w] = seen.get((lang, w), 0) + 1
                 grams: dict[tuple[str, str], int] = {}
                 for (lang, w), n in seen.items():
@@ -297,7 +300,7 @@ def identify(
         scorer = Scorer(model, clip)
         for whole in batches:
             for part in byte_slices(whole, "text", slice_bytes):
-                tokens = [_LETTERS.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
+                tokens = [_letters(t.lower()) if t else [] for t in part.column(1).to_pylist()]
                 scorer.learn(set().union(*tokens))
                 counts, langs, shares, spans = [], [], [], []
                 for words in tokens:
