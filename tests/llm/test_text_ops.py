@@ -36,6 +36,23 @@ def test_divergence_edges(spark):
     assert kept.columns == edge(spark).columns and kept.where("doc_id is null").count() == 1
 
 
+def test_words_are_hashed_as_they_are_found():
+    """hash_texts tells apart what words() tells apart, for any text."""
+    from gleanery.llm.common import hash_texts, words
+
+    rng = random.Random(6)
+    signs = "abzAZ09_ \n.,-ÄäßéñΣЖж日本ー\u0301\u0939\u093f\U00020001\U0001f600"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000)]
+    texts += [None, "", LONG, SOLID, "a" * 1024, "a" * 1025, "word " * 600_000]
+    texts = [t.replace("Σ", "") if t else t for t in texts]  # its lower case depends on its place
+    name: dict[str, int] = {}
+    for t, h in zip(texts, hash_texts(texts)):
+        found = words(t)
+        assert len(found) == len(h)
+        assert all(name.setdefault(w, x) == x for w, x in zip(found, h.tolist()))
+    assert len(set(name.values())) == len(name)
+
+
 def test_jensen_shannon():
     assert divergence.js_distance(np.array([1, 0]), np.array([0, 1])) == 1.0
     assert divergence.js_distance(np.array([2, 2]), np.array([5, 5])) == 0.0
@@ -48,6 +65,24 @@ def test_divergence_rejects_foreign_text(spark):
     assert [r.keep for r in sorted(rows, key=lambda r: r.doc_id)] == [True] * 30 + [False]
 
 
+def test_divergence_rejects_gibberish_and_other_languages(spark, sf_dir):
+    """Texts of 60 words and more: no good one goes, most poor ones and all foreign ones do."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
+    rng = random.Random(4)
+    good = [r for r in table.where("quality = 1 and n_chars > 600").collect()]
+    other = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
+    held = [(10**6 + k, r.text, other[r.lang]) for k, r in enumerate(rng.sample(good, 30))]
+    held += [(2 * 10**6 + k, " ".join("".join(rng.choices("aeiourstnl", k=rng.randint(3, 9))) for _ in range(80)), "en") for k in range(30)]
+    more = spark.createDataFrame(held, "doc_id bigint, text string, lang string")
+    rows = divergence.divergence(table.select("doc_id", "text", "lang").union(more)).join(table.select("doc_id", "quality"), "doc_id", "left").collect()
+    judged = [r for r in rows if r.word_jsd is not None or r.char_jsd is not None]
+    rejected = lambda rs: sum(not r.keep for r in rs) / len(rs)
+    assert rejected([r for r in judged if r.quality == 1]) == 0
+    assert rejected([r for r in judged if r.quality == 0]) > 0.7
+    assert rejected([r for r in judged if r.doc_id >= 2 * 10**6]) == 1
+    assert rejected([r for r in judged if 10**6 <= r.doc_id < 2 * 10**6]) > 0.9
+
+
 # ---- token counts
 
 
@@ -65,12 +100,41 @@ def test_token_counts_are_exact(spark):
 def test_pieces_don_t_change_the_count(text, size):
     enc = token_counts.encoder(f"{token_counts.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
     assert "".join(token_counts.safe_pieces(text, size)) == text
-    assert token_counts.count_tokens(enc, text, size) == len(enc.encode_ordinary(text))
+    assert token_counts.count_tokens(enc, [text, None, text], size).tolist() == [len(enc.encode_ordinary(text)), 0, len(enc.encode_ordinary(text))]
+
+
+@pytest.mark.parametrize("unit", ["\u65e5\u672c\u8a9e\u3067\u3059\u3002", "line\n", "aGVsbG8gd29ybGQ9PT0+", "x  y\t", "a.b"])
+def test_texts_without_lone_blanks_are_cut(unit):
+    enc = token_counts.encoder(f"{token_counts.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+    text = unit * 500
+    pieces = list(token_counts.safe_pieces(text, 50))
+    assert max(map(len, pieces)) < 50 + 2 * len(unit) and "".join(pieces) == text
+    assert sum(len(enc.encode_ordinary(p)) for p in pieces) == len(enc.encode_ordinary(text))
 
 
 # ---- languages
 
 
+def test_one_label_only_where_it_is_optimal():
+    rng = np.random.default_rng(5)
+    whole = mixed = 0
+    for _ in range(3000):
+        n = int(rng.integers(2, 30))
+        s = -rng.integers(0, 7, (n, 3)).astype(float)
+        s[: n // 2, 0] /= rng.choice([1, 4])
+        s[n // 2 :, 1] /= rng.choice([1, 4])
+        found = langid.label_words(s, 10.0)
+        value = sum(s[a:b, k].sum() for a, b, k in found) - 10.0 * (len(found) - 1)
+        path = langid.viterbi(s.tolist(), 10.0)
+        best = sum(r[k] for r, k in zip(s.tolist(), path)) - 10.0 * sum(x != y for x, y in itertools.pairwise(path))
+        assert abs(value - best) < 1e-9
+        whole, mixed = whole + (len(found) == 1), mixed + (len(found) > 1)
+    assert whole > 100 and mixed > 100
+    # Two spans with a third label, between them in every word, that has the best total.
+    s = np.array([[-2.0, 0.0, -6.0]] * 4 + [[-2.0, -6.0, 0.0]] * 4)
+    assert langid.label_words(s, 10.0) == [(0, 4, 1), (4, 8, 2)]
+
+
 def brute_path(s: np.ndarray, penalty: float) -> float:
     n, k = s.shape
     best = -1e18
@@ -161,7 +225,7 @@ def test_maximal_segments_by_definition():
         n = rng.randint(1, 14)
         scores = [rng.choice([3.1, 1.7, 5.3]) + rng.random() if rng.random() < 0.4 else -1.0 for _ in range(n)]
         pos = [i for i, s in enumerate(scores) if s > 0]
-        got = {(a, b) for a, b, _ in toxicity.maximal_segments(pos, [scores[i] for i in pos], 1.0, n)}
+        got = {(a, b) for a, b, _ in toxicity.maximal_segments(pos, [scores[i] for i in pos], 1.0)}
         assert got == brute_segments(scores)
 
 
