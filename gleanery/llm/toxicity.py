@@ -161,15 +161,18 @@ def train(
 ) -> ToxicityModel:
     """Fit log-odds and the extreme-value law on a bounded labelled sample.
 
-    Labels or texts that are null are not used.  With no toxic or no other
-    labelled document the model is empty, and finds nothing.
+    Labels or texts that are null are not used; of several labels of one id the
+    worst counts, and rows that repeat a labelled id are all used.  With no toxic or
+    no other labelled document, or an empty table, the model is empty and finds
+    nothing.  Other columns are not read.
     """
     picked = (
         labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y"))
         .where("id is not null and y is not null")
-        .orderBy(F.xxhash64("id", F.lit(seed)), "id", "y")
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))  # of several labels the worst counts
+        .orderBy(F.xxhash64("id", F.lit(seed)), "id")
         .limit(max_labelled)
-        .dropDuplicates(["id"])
     )
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +307,10 @@ def detect(
 def remove_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", max_p: float = 1e-3) -> DataFrame:
     """The documents that are not toxic, columns as given.
 
-    The text is judged in place by an Arrow predicate: no join on ids, so null
-    or repeated ids and any extra columns are harmless.
+    The text is judged in place by an Arrow predicate, whole and whatever its length
+    (Spark bounds the batches by bytes): no join on ids, so null or repeated ids and
+    any extra columns are harmless.  Null and empty texts stay, and an empty table
+    stays empty.
     """
     if model.empty:
         return docs

@@ -129,13 +129,16 @@ class Buffer:
         dropped = 0
         while True:
             found = _FIRST_LINE.search(self.held)
-            ended = not found and len(self.held) < CHUNK and not self.more()
-            if found or ended or len(self.held) >= CHUNK:
-                keep = found.start() if found else len(self.held) if ended else len(self.held) - _LONGEST_LINE
-                gone = self.take(keep)
-                dropped += len(gone) - gone.count(b"\r") - gone.count(b"\n")
-                if found or ended:
-                    return dropped
+            ended = False
+            if not found and len(self.held) < CHUNK:
+                if self.more():
+                    continue
+                ended = True
+            keep = found.start() if found else len(self.held) if ended else len(self.held) - _LONGEST_LINE
+            gone = self.take(keep)
+            dropped += len(gone) - gone.count(b"\r") - gone.count(b"\n")
+            if found or ended:
+                return dropped
 
     def header(self, most: int) -> bytes | None:
         """Up to and with the empty line; None where the stream ends first or it is over ``most`` bytes."""
