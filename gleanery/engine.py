@@ -66,7 +66,7 @@ class Registry:
         """Findings of the analysers named, by default all; distinct within a document."""
         chosen = [self._held[n] for n in (self._held if names is None else names)]
         spark, kind = docs.sparkSession, docs.schema["path"].dataType.simpleString()
-        held = docs.where("text is not null").select("path", "text", "file_type", F.lower("text").alias("lowered"))
+        held = docs.where("text is not null").select("path", "text", "file_type").withColumns(detect.asked())
         arrays, parts, failed = [], [], []
         for a in chosen:
             try:
@@ -81,7 +81,8 @@ class Registry:
                 failed.append((None, RUNTIME_ERRORS, f"{a.name}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
         if arrays:
             found = T.distinct(F.flatten(F.array(*arrays)))
-            parts.insert(0, held.select(F.col("path").alias("id"), F.explode(found).alias("f")).select("id", "f.category", "f.value"))
+            rows = held.select(F.col("path").alias("id"), found.alias("__rows"))
+            parts.insert(0, rows.select("id", F.inline_outer("__rows")).where("category is not null"))
         if failed or not parts:
             parts.append(spark.createDataFrame(failed, f"id {kind}, category string, value string"))
         out = parts[0]

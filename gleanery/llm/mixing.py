@@ -68,7 +68,7 @@ def mix(
     size_col: str | None = "n_chars",
     weight_col: str | None = None,
     copy_col: str | None = "copy",
-    block_rows: int = 1 << 16,
+    block_rows: int = 1 << 13,
     seed: int = 7,
 ) -> DataFrame:
     """The sampled documents, a row for each copy, numbered from 1 in ``copy_col``.

@@ -88,7 +88,7 @@ def complexity(
     parameters of a function; null for other rules.
     """
     rows = complexity_rows(max_function_lines, max_parameters)
-    return D.prepared(docs, id_col, text_col).select("id", F.explode(rows).alias("f")).select("id", "f.*")
+    return D.each(docs, rows, "rule", id_col=id_col, text_col=text_col)
 
 
 def complexity_rows(max_function_lines: int = 100, max_parameters: int = 5) -> Column:
@@ -124,8 +124,7 @@ def size_measures(
 
 def client_endpoints(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, category, value): addresses in calls of HTTP clients; absolute or below /api/."""
-    held = D.prepared(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
-    return held.select("id", F.explode(client_entries()).alias("f")).select("id", "f.*")
+    return D.each(docs, client_entries(), "category", **columns)
 
 
 def client_entries() -> Column:
@@ -151,8 +150,8 @@ def package_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         pairs = T.distinct(F.zip_with(names, versions, lambda n, v: F.struct(n.alias("package"), v.alias("version"))))
         none = F.array().cast("array<struct<package:string,version:string>>")
         entries.append(D.tagged(F.when(needed, pairs).otherwise(none), kind=d.name))
-    out = D.prepared(docs, id_col, text_col).select("id", F.explode(F.flatten(F.array(*entries))).alias("f"))
-    return out.select("id", "f.kind", "f.value.package", "f.value.version")
+    pairs = F.transform(F.flatten(F.array(*entries)), lambda f: F.struct(f["kind"].alias("kind"), f["value"]["package"].alias("package"), f["value"]["version"].alias("version")))
+    return D.each(docs, pairs, "kind", id_col=id_col, text_col=text_col)
 
 
 _MANIFEST = "name string, version string, license string, dependencies map<string,string>, devDependencies map<string,string>"
@@ -164,8 +163,7 @@ def manifest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Development dependencies replace others of the same name.  ``loose`` marks
     versions that admit breaking changes.  Text that is no JSON gives nothing.
     """
-    held = D.prepared(docs, id_col, text_col).select("id", F.explode(package_rows()).alias("f"))
-    return held.select("id", "f.*")
+    return D.each(docs, package_rows(), "package", id_col=id_col, text_col=text_col)
 
 
 def package_rows() -> Column:
@@ -191,7 +189,7 @@ def loose(version: Column) -> Column:
 
 def manifest_labels(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, category, value): name, version and licence of package manifests."""
-    return D.prepared(docs, id_col, text_col).select("id", F.explode(label_entries()).alias("f")).select("id", "f.*")
+    return D.each(docs, label_entries(), "category", id_col=id_col, text_col=text_col)
 
 
 def label_entries() -> Column:

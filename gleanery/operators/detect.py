@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.catalog import CORE, JSON_STATUS, Detector
+from ..plans.catalog import CORE, GATES, JSON_STATUS, Detector
 
 Check = Callable[[Column], Column]
 #: Core categories whose matches are checked before they count.
@@ -31,9 +31,32 @@ def wanted(d: Detector, lowered: Column) -> Column | None:
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, lowered), without null texts."""
+    """(id, text) and what detectors ask of a text before they look, without null texts."""
     held = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    return held.withColumn("lowered", F.lower("text"))
+    return held.withColumns(asked())
+
+
+def asked() -> dict[str, Column]:
+    """The text in lower case, and the gates that it passes: made once for all detectors."""
+    return {"lowered": F.lower("text")} | {name: F.col("text").rlike(f"(?U){regex}") for name, regex in GATES.items()}
+
+
+def may_match(d: Detector) -> Column | None:
+    """Whether the prepared text passes the detector's gate and holds a literal that it needs."""
+    parts = [F.col(d.gate)] if d.gate else []
+    needed = wanted(d, F.col("lowered"))
+    parts += [] if needed is None else [needed]
+    return reduce(Column.__and__, parts) if parts else None
+
+
+def each(docs: DataFrame, rows: Column, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fields...) of an array of structs over the prepared text; ``key`` is a field that is never null.
+
+    The array is a column before it is taken apart: inside the generator it would be
+    computed uncompiled, and by ``explode`` a second time in an inferred filter.
+    """
+    held = prepared(docs, id_col, text_col).select("id", rows.alias("__rows"))
+    return held.select("id", F.inline_outer("__rows")).where(F.col(key).isNotNull())
 
 
 def matches(d: Detector, check: Check | None = None) -> Column:
@@ -41,7 +64,7 @@ def matches(d: Detector, check: Check | None = None) -> Column:
     found = T.extract(F.col("text"), d.java, d.group)
     if check is not None:
         found = F.filter(found, lambda v: check(v))
-    needed = wanted(d, F.col("lowered"))
+    needed = may_match(d)
     return found if needed is None else F.when(needed, found).otherwise(F.array().cast("array<string>"))
 
 
@@ -81,15 +104,14 @@ def detect(
     ``merge`` makes those one.  The id keeps its type and may be null; other
     columns are not read.
     """
-    out = prepared(docs, id_col, text_col).select("id", F.explode(found(detectors, checks)).alias("f"))
-    return out.select("id", "f.category", "f.value")
+    return each(docs, found(detectors, checks), "category", id_col=id_col, text_col=text_col)
 
 
 def present_entries(detectors: Sequence[Detector], category: str, prefix: str = "") -> Column:
     """Names of the detectors that match the prepared text at least once, as findings."""
 
     def hit(d: Detector) -> Column:
-        needed, seen = wanted(d, F.col("lowered")), F.col("text").rlike(d.java)
+        needed, seen = may_match(d), F.col("text").rlike(d.java)
         return F.when(seen if needed is None else needed & seen, F.lit(prefix + d.name))
 
     return F.transform(F.array_compact(F.array(*map(hit, detectors))), lambda n: finding(category, n))
@@ -99,8 +121,7 @@ def present(
     docs: DataFrame, detectors: Sequence[Detector], category: str, *, id_col: str = "doc_id", text_col: str = "text", prefix: str = ""
 ) -> DataFrame:
     """(id, category, value): names of the detectors that match at least once."""
-    names = present_entries(detectors, category, prefix)
-    return prepared(docs, id_col, text_col).select("id", F.explode(names).alias("f")).select("id", "f.category", "f.value")
+    return each(docs, present_entries(detectors, category, prefix), "category", id_col=id_col, text_col=text_col)
 
 
 def spots(detectors: Sequence[Detector], window: tuple[int, int] | None = None, whole_line: bool = False) -> Column:
@@ -112,7 +133,7 @@ def spots(detectors: Sequence[Detector], window: tuple[int, int] | None = None,
     """
     entries = []
     for d in detectors:
-        needed = wanted(d, F.col("lowered"))
+        needed = may_match(d)
         seen = T.spans(F.col("text"), d.java)
         if needed is not None:
             seen = F.when(needed, seen).otherwise(F.array().cast(T.SPAN_TYPE))
@@ -157,8 +178,7 @@ def located(
     text_col: str = "text",
 ) -> DataFrame:
     """(id, rule, value, start, line[, window][, whole]): every match with its place."""
-    out = prepared(docs, id_col, text_col).select("id", F.explode(spots(detectors, window, whole_line)).alias("f"))
-    return out.select("id", "f.*")
+    return each(docs, spots(detectors, window, whole_line), "rule", id_col=id_col, text_col=text_col)
 
 
 def smell_rows(detectors: Sequence[Detector], category: str, around: int | None) -> Column:
@@ -183,8 +203,7 @@ def smells(
 
     The context is ``around`` characters on both sides, or the whole line.
     """
-    rows = prepared(docs, id_col, text_col).select("id", F.explode(smell_rows(detectors, category, around)).alias("f"))
-    return rows.select("id", "f.*")
+    return each(docs, smell_rows(detectors, category, around), "rule", id_col=id_col, text_col=text_col)
 
 
 def smell_entries(detectors: Sequence[Detector], category: str = "security_smells", around: int | None = 20) -> Column:
@@ -227,7 +246,7 @@ def high_entropy(
     docs: DataFrame, *, threshold: float = 4.5, least_bytes: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, value, entropy): distinct tokens of more bits a character than the threshold."""
-    return prepared(docs, id_col, text_col).select("id", F.explode(entropy_rows(threshold, least_bytes)).alias("f")).select("id", "f.*")
+    return each(docs, entropy_rows(threshold, least_bytes), "value", id_col=id_col, text_col=text_col)
 
 
 def json_entries(reach: int = 500, most: int = 200) -> Column:
@@ -242,4 +261,4 @@ def json_entries(reach: int = 500, most: int = 200) -> Column:
 
 def json_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 500, most: int = 200) -> DataFrame:
     """(id, category, value): JSON answers, distinct within a row."""
-    return prepared(docs, id_col, text_col).select("id", F.explode(json_entries(reach, most)).alias("f")).select("id", "f.*")
+    return each(docs, json_entries(reach, most), "category", id_col=id_col, text_col=text_col)

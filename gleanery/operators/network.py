@@ -66,14 +66,10 @@ def endpoint_rows(hosts_: Column, ports_: Column) -> Column:
     return T.distinct(F.flatten(F.transform(hosts_, of_host)))
 
 
-def _each(docs: DataFrame, rows: Column, **columns: str) -> DataFrame:
-    held = D.prepared(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
-    return held.select("id", F.explode(rows).alias("f"))
-
-
 def ports(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, value, port)"""
-    return _each(docs, port_values(), **columns).select("id", F.col("f").alias("value"), F.col("f").cast("int").alias("port"))
+    rows = F.transform(port_values(), lambda p: F.struct(p.alias("value"), p.cast("int").alias("port")))
+    return D.each(docs, rows, "value", **columns)
 
 
 def sensitive_ports(docs: DataFrame, **columns: str) -> DataFrame:
@@ -84,13 +80,14 @@ def sensitive_ports(docs: DataFrame, **columns: str) -> DataFrame:
 
 def hosts(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, host, outside): ``outside`` marks an address that isn't of a local net."""
-    return _each(docs, host_values(), **columns).select("id", F.col("f").alias("host"), is_outside(F.col("f")).alias("outside"))
+    rows = F.transform(host_values(), lambda h: F.struct(h.alias("host"), is_outside(h).alias("outside")))
+    return D.each(docs, rows, "host", **columns)
 
 
 def endpoints(docs: DataFrame, **columns: str) -> DataFrame:
     """(id, host, port): pairs of a text in which both stand, without overlap, in either order."""
     rows = T.bound(F.struct(host_values().alias("h"), port_values().alias("p")), lambda s: endpoint_rows(s["h"], s["p"]))
-    return _each(docs, rows, **columns).select("id", "f.*")
+    return D.each(docs, rows, "host", **columns)
 
 
 def entries() -> Column:
@@ -135,4 +132,4 @@ def _any_case(d: D.Detector) -> D.Detector:
 
 def findings(docs: DataFrame, **columns: str) -> DataFrame:
     """All of the above as (id, category, value), distinct within a row."""
-    return _each(docs, T.distinct(entries()), **columns).select("id", "f.*")
+    return D.each(docs, T.distinct(entries()), "category", **columns)

@@ -743,7 +743,9 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run as a stream to its end, with its state in a checkpoint; the last state is what is read."""
     place = files.shared_folder(spark, "windows")
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+    # A pattern, as the table may be a file: a plain path would have to be a folder.
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     run_to_table(windowed_counts(events), f"{place}/table", f"{place}/checkpoint")
     return stamped(spark.read.parquet(f"{place}/table"), "start")
 
