@@ -191,10 +191,11 @@ CORE = gated(
             "rate_limit_header": _on(f"(?i)x-ratelimit-{alt('limit', 'remaining', 'reset')}", "x-ratelimit-"),
         },
     )
-) + _family(
-    "core",
-    "m",  # a dot stays in its line: a slash comment ends there
-    {"api_doc_comment": _on(rf"(?i){alt(r'/\*\*[\s\S]*?\*/', '///.*$', r'#\s+@api')}", "/** /// @api")},
+    + _family(
+        "core",
+        "m",  # a dot stays in its line: a slash comment ends there
+        {"api_doc_comment": _on(rf"(?i){alt(r'/\*\*[\s\S]*?\*/', '///.*$', r'#\s+@api')}", "/** /// @api")},
+    )
 )
 
 _JSON_OK = alt(
