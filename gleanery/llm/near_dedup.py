@@ -1,33 +1,28 @@
-"""Near-dedup: copies by a MinHash ensemble, containers of any size by a join.
-
-Documents are sets of hashed word 5-grams.  They are partitioned by set size,
-geometrically, and for every pair of partitions that copies can lie in the
-containment threshold c is converted into the Jaccard threshold that it
-guarantees there, c / (u/q + 1 - c) with q the lower border of the first and u
-the upper border of the second, or ``copy_ratio``.  ``tune`` picks rows and bands
-for that threshold, so every pair of partitions has its own banding, drawn as
-prefixes of shared band families; a document emits each family once and serves
-both as query and as entry.  Sets of fewer than ``min_shingles`` 5-grams, and those
-that may be their copies, are banded by single hashes besides.
-
-Texts of equal words are one class from the start: their bands are made distinct
-before anything is joined, so thousands of copies, or a third of all rows, are one.
-
-Documents that share a band key form a bucket.  In it every document is linked with
-the largest one (ties: the lowest id) of each partition that the banding allows, and
-with its neighbours in the order of two further MinHashes, other ones for each band.
-Among thousands of holders of one passage, none of which is a copy of the largest,
-copies come to lie side by side there.  So a bucket gives a few pairs a row, whatever
-its size.  Pairs whose sketches of one bit a hash agree by ``sketch_sigmas`` standard
-deviations less than the threshold asks are passed over; all others are checked
-exactly: the texts of both are brought together and the containment of the 5-gram
-sets is computed, nothing is estimated.
-
-Banding needs ever more hashes as the container grows, so containers are sought
-otherwise: the largest document of each group sends a few of its shingles, those
-that few documents share first, and every larger document answers with all
-shingles that were sent (``probe_shingles``).  Large sets send and answer within a
-fixed quarter of all shingles only.  Their pairs are checked exactly.
+"""Near-dedup: an exact join of shingles with prefix filters, then components.
+
+Documents are sets of hashed word 5-grams; equal sets are one document from the
+start.  All documents' shingles are counted in a table of slots, which gives one
+order of all shingles, rare ones first.  The order only saves work: any other one
+gives the same result.
+
+Copies share at least c of the smaller set, which is at least 1/r of the larger.  So
+the smaller one's first (1 - c) n + 1 shingles in the common order and the larger
+one's first (1 - c/r) n + 1 have one in common, and a join of these postings misses
+nothing.  Postings are packed by bucket of shingles, and a bucket is joined in numpy.
+
+A shingle of up to DENSE holders gives all pairs of them.  Where there are more, each
+is first paired with the next larger ones; when the components of what was found
+are known, all pairs of holders that no component joins follow (``rest``).  So a
+thousand edited copies need no half million checks, but no two documents that
+are copies end in different groups.
+
+A set that lies to c in a larger one misses at most (1 - c) n of its shingles there,
+so of its first (1 - c) n + NEEDED the larger one holds NEEDED, of whatever size it is.
+The largest document of each group asks with these, all documents answer with all
+shingles.
+
+Every pair is checked exactly: the texts of both are brought together and the
+containment of the 5-gram sets is computed, nothing is estimated.
 
 Result.  Two documents are copies when at least ``copy_t`` of the smaller set
 lies in the larger, which is at most ``copy_ratio`` times as large.  Copies are
@@ -39,57 +34,24 @@ larger document of another group goes in favour of that group's.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (
-    byte_slices,
-    hash_texts,
-    materialise,
-    mix64,
-    odd_multipliers,
-    shingle_hashes,
-    shingle_sets,
-    unused,
-)
-from .common import distinct as distinct_values
-from .decontaminate import probes
+from .common import byte_slices, drop_tables, materialise, shingle_sets, unused
 
 WIDTH = 5
-PROBES, NEEDED = 24, 7
-#: Large sets send and answer with shingles whose top bits are 0: one of four.
-SIEVE_BITS = 2
-SHORT_BANDS = 16
-EXTRAS = 16
-
-
-@dataclass(frozen=True)
-class Ensemble:
-    """Banding by distance (in partitions) of a query and its container."""
-
-    base: float  # ratio of a partition's borders
-    rows: tuple[int, ...]  # rows of each band family
-    sizes: tuple[int, ...]  # bands of each family
-    family: tuple[int, ...]  # by distance: family
-    bands: tuple[int, ...]  # by distance: bands of it
-    short: int  # sets below this size, and their copies, have single-hash bands, too
-    ratio: float
-
-    @property
-    def hashes(self) -> int:
-        return max(r * b for r, b in zip(self.rows, self.sizes))
-
-    @property
-    def short_most(self) -> int:
-        """The largest set that may be a copy of a short one."""
-        return math.floor(self.short * self.ratio)
+#: Shingles are counted in 2 ** SLOT_BITS slots, which travel in blocks.
+SLOT_BITS, BLOCK_BITS = 20, 16
+#: Up to this many holders of a shingle are paired at once, more of them by steps.
+DENSE, STEPS = 16, 3
+#: Hits that a container must have among the shingles that a set sends.
+NEEDED = 7
 
 
 def jaccard_threshold(containment: float, ratio: float) -> float:
@@ -98,7 +60,7 @@ def jaccard_threshold(containment: float, ratio: float) -> float:
 
 
 def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
-    """(rows, bands) with the most rows that still reach the recall."""
+    """(rows, bands) of a MinHash banding with the most rows that still reach the recall."""
     for rows in (6, 5, 4, 3, 2, 1):
         bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if rows * bands <= hashes:
@@ -106,246 +68,227 @@ def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     return 1, hashes
 
 
-def ensemble(copy_t: float, copy_ratio: float, base: float, recall: float, hashes: int, short: int = 16) -> Ensemble:
-    picks = []
-    for d in range(math.floor(math.log(copy_ratio, base)) + 2):  # partitions that copies can lie apart
-        picks.append(tune(jaccard_threshold(copy_t, min(base ** (d + 1), copy_ratio)), recall, hashes))
-    rows = tuple(sorted({r for r, _ in picks}, reverse=True))
-    sizes = tuple(max(b for r, b in picks if r == x) for x in rows)
-    return Ensemble(base, rows, sizes, tuple(rows.index(r) for r, _ in picks), tuple(b for _, b in picks), short, copy_ratio)
-
-
-def minhashes(shingles: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """(documents, n): least value of every hash over each run of shingles, 32 bits."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    mults, adds = odd_multipliers(n, seed).astype(np.uint32) | np.uint32(1), odd_multipliers(n, seed + 1).astype(np.uint32)
-    out, h = np.empty((n, len(starts)), np.uint32), np.empty_like(x)
-    for k in range(n):
-        np.multiply(x, mults[k], out=h)
-        np.add(h, adds[k], out=h)
-        out[k] = np.minimum.reduceat(h, starts)
-    return np.ascontiguousarray(out.T)
-
-
-def band_keys(sig: np.ndarray, ens: Ensemble) -> np.ndarray:
-    """(documents, all bands): key with the band's number in the low 8 bits."""
-    cols, number = [], 0
-    for rows, size in [*zip(ens.rows, ens.sizes), (1, SHORT_BANDS)]:
-        for b in range(size):
-            h = np.full(len(sig), number + 1, np.uint64)
-            for c in range(b * rows, (b + 1) * rows):
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
-            cols.append((h & ~np.uint64(0xFF)) | np.uint64(number))
-            number += 1
-    return np.stack(cols, 1)
-
-
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """(documents, 3): one bit of each of up to 192 hashes."""
-    bit = (sig * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    bits = np.zeros((len(sig), 192), np.uint8)
-    bits[:, : sig.shape[1]] = bit
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
-def common_shingles(docs: DataFrame, sample: int = 4000, least: int = 4) -> np.ndarray:
-    """Sorted shingles of ``least`` documents or more of about ``sample`` documents."""
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, docs.count() // sample))) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in byte_slices(whole, "text", 1 << 20):
-                flat = np.concatenate(shingle_sets(part.column(1).to_pylist(), WIDTH))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["hash"])
-
-    often = some.mapInArrow(run, "hash bigint").groupBy("hash").count().where(F.col("count") >= least)
-    return np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
+def least_common(n: int, share: float) -> int:
+    """The least count of n that is at least that share of it."""
+    return math.ceil(share * n - 1e-9)
 
 
-def sieved(s: np.ndarray) -> np.ndarray:
-    return s[s >> np.uint64(64 - SIEVE_BITS) == 0]
+def slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def probe_shingles(s: np.ndarray, often: np.ndarray, contain_t: float) -> tuple[np.ndarray, int, bool]:
-    """(shingles, hits, within the sieve): a container of ``contain_t`` of the set s holds that many of them.
-
-    Sets with PROBES uncommon shingles in the sieve send PROBES of these at random, if
-    no more than 0.4 of the uncommon ones can be missing: of them at least 0.6 are in
-    a container, so under NEEDED hits have odds of 6 in 10,000.  Other sets send all
-    uncommon shingles, of which no more than the misses can be missing, or where
-    these are too few as many as hold one hit for sure, uncommon ones first.
-    """
-    misses = len(s) - math.ceil(contain_t * len(s) - 1e-9)
-    at = np.searchsorted(often, s)
-    frequent = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
-    rare = s[~frequent]
-    few = sieved(rare)
-    if len(few) >= PROBES and misses <= 0.4 * len(rare):
-        return few[np.argsort(mix64(few), kind="stable")][:PROBES], NEEDED, True
-    if len(rare) > misses:
-        return rare, len(rare) - misses, False
-    common = s[frequent]
-    return np.concatenate([rare, common[np.argsort(mix64(common), kind="stable")]])[: misses + 1], 1, False
-
-
-_SIGNATURE = (
-    "id bigint, size int, name binary, keys array<bigint>, bits array<bigint>, extras array<int>, sent array<bigint>, need int, sieve boolean"
-)
-
-
-def signatures(docs: DataFrame, ens: Ensemble, often, min_shingles: int, contain_t: float, seed: int) -> DataFrame:
-    """A row a document with words: set size, name of its words, band keys, sketch and probes."""
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    types = (pa.int64(), pa.int32(), pa.binary(), longs, longs, ints, longs, pa.int32(), pa.bool_())
-    names = [c.split()[0] for c in _SIGNATURE.split(", ")]
-    n_long = sum(ens.sizes)
+def described(docs: DataFrame) -> DataFrame:
+    """(id, size, name) of every text with words; (block, counts) of all shingles of a task."""
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    names = ["id", "size", "name", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
         for whole in batches:
-            for part in byte_slices(whole, "text", 512 << 10):
-                ids, tokens, sets = [], [], []
-                for i, h in zip(part.column(0).to_pylist(), hash_texts(part.column(1).to_pylist())):
-                    if i is not None and len(h):
-                        ids.append(i)
-                        tokens.append(xxhash.xxh3_128_digest(h.tobytes()))
-                        sets.append(distinct_values(shingle_hashes(h, WIDTH)))
-                if not ids:
+            for part in byte_slices(whole, "text", 1 << 20):
+                found = [(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), WIDTH)) if len(s)]
+                if not found:
                     continue
-                size = [len(s) for s in sets]
-                sig = minhashes(np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1])), ens.hashes, seed)
-                keys = band_keys(sig, ens).view(np.int64)
-                cut = [(n_long if n < ens.short else 0, n_long if n > ens.short_most else keys.shape[1]) for n in size]
-                none = (np.empty(0, np.int64), 1, False)
-                sent = [probe_shingles(s, often.value, contain_t) if n >= min_shingles else none for s, n in zip(sets, size)]
-                cols = (
-                    ids, size, tokens, [k[a:b] for k, (a, b) in zip(keys, cut)], list(sketches(sig)),
-                    list(sig[:, -EXTRAS:].view(np.int32)), [x[0].view(np.int64) for x in sent], [x[1] for x in sent], [x[2] for x in sent],
-                )
+                counts += np.bincount(slots(np.concatenate([s for _, s in found])), minlength=len(counts))
+                none = [None] * len(found)
+                cols = ([i for i, _ in found], [len(s) for _, s in found], [xxhash.xxh3_128_digest(s.tobytes()) for _, s in found], none, none)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        if counts.any():
+            for block, part in enumerate(np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, 1 << BLOCK_BITS)):
+                cols = ([None], [None], [None], [block], [part.tobytes()])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.mapInArrow(run, _SIGNATURE)
-
-
-def hot_keys(rows: DataFrame, sample: int = 4000, least: int = 40) -> list[int]:
-    """Keys of 1 % of a bounded sample or more: few, and only their rows' routes depend on them."""
-    ids = rows.select("id").distinct()
-    some = ids.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, ids.count() // sample))) == 0)
-    often = rows.join(some, "id", "left_semi").groupBy("key").count().where(F.col("count") >= least)
-    return [r.key for r in often.select("key").collect()]
-
-
-def banded(names: DataFrame, ens: Ensemble) -> DataFrame:
-    """(key, id, size, part) of all bands."""
-    part = F.floor(F.log("size") / math.log(ens.base)).cast("int")
-    return names.select("id", "size", part.alias("part"), F.explode("keys").alias("key"))
+    return docs.mapInArrow(run, "id bigint, size int, name binary, block int, counts binary")
 
 
-def buckets(rows: DataFrame, sketch: DataFrame, hot: list[int]) -> DataFrame:
-    """The rows whose key some other row has, too, with sketch and two further hashes.
+def shingle_counts(rows: DataFrame) -> np.ndarray:
+    """By slot, how often its shingles occur in all documents (more than 65,535 a task count as that)."""
 
-    Rows of hot keys are told apart by a salt, so that no task sorts such a bucket.
-    """
-    salt = F.when(F.col("key").isin(*hot), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)
-    rows = rows.withColumn("salt", salt)
-    alone = F.count("*").over(Window.partitionBy("key", "salt")) == 1
-    rows = rows.withColumn("alone", alone).where("not alone").drop("alone").join(sketch, "id")
-    band = F.col("key").bitwiseAND(0xFF).cast("int")
-    pick = lambda a, b: F.get("extras", (band * a + b) % EXTRAS)
-    return rows.select("key", "salt", "id", "size", "part", "bits", pick(1, 0).alias("x"), pick(7, 5).alias("y"))
-
-
-def allowed(band: F.Column, distance: F.Column, ens: Ensemble) -> F.Column:
-    """Whether the banding of two partitions so far apart has that band."""
-    firsts = [sum(ens.sizes[:f]) for f in ens.family]
-    out = band >= sum(ens.sizes)
-    for d, (first, n) in enumerate(zip(firsts, ens.bands)):
-        out = out | ((distance == d) & (band >= first) & (band < first + n))
-    return out
+    def total(t: pa.Table) -> pa.Table:
+        out = np.zeros(1 << BLOCK_BITS, np.int64)
+        for x in t.column("counts").to_pylist():
+            out += np.frombuffer(x, np.uint16)
+        return pa.table({"block": t.column("block")[:1], "counts": pa.array([np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-
-def alike(ens: Ensemble, copy_t: float, sigmas: float) -> F.Column:
-    """Whether two rows, the other's columns with ``_b``, may be copies by their sizes and sketches.
-
-    At Jaccard similarity j each of the n bits agrees with chance (1 + j) / 2.
-    """
-    small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
-    common = F.ceil(copy_t * small - 1e-9)
-    agree = (1 + common / (small + large - common)) / 2
-    differ = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(3)), F.lit(0))
-    n = ens.hashes
-    return (large <= ens.ratio * small) & (n - differ >= n * agree - sigmas * F.sqrt(n * agree * (1 - agree)))
-
-
-def candidates(rows: DataFrame, ens: Ensemble, copy_t: float, sigmas: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b: every row with hubs and neighbours of its buckets."""
-    band = F.col("key").bitwiseAND(0xFF)
-    held = ("id", "size", "part", "bits")
-    other = [F.col(c).alias(f"{c}_b") for c in held]
-    top = F.max(F.struct("size", (-F.col("id")).alias("neg"), "bits")).alias("top")
-    hubs = rows.groupBy("key", "part").agg(top).select(
-        "key", (-F.col("top.neg")).alias("id_b"), F.col("top.size").alias("size_b"), F.col("part").alias("part_b"), F.col("top.bits").alias("bits_b")
-    )
-    starred = rows.select("key", *held).join(hubs, "key")
-    chains = []
-    for order in ("x", "y"):
-        here = Window.partitionBy("key", "salt").orderBy(order, "size", "id")
-        ahead = F.lead(F.struct(*other)).over(here)
-        chains.append(rows.select("key", *held, ahead.alias("n")).where("n is not null").select("key", *held, "n.*"))
-    ok = (F.col("id") != F.col("id_b")) & allowed(band, F.abs(F.col("part_b") - F.col("part")), ens) & alike(ens, copy_t, sigmas)
-    met = [df.where(ok).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")) for df in (starred, *chains)]
-    return met[0].union(met[1]).union(met[2]).distinct()
-
-
-def packed_bitmap(hashes: DataFrame, bits: int, block: int = 1 << 20) -> np.ndarray:
-    """The bits set by all hashes, in blocks that tasks have packed."""
-
-    def pack(rows: pa.Table) -> pa.Table:
-        at = rows.column("at").to_numpy()
-        out = np.zeros(block, np.uint8)
-        out[at & (block - 1)] = 1
-        packed = np.packbits(out, bitorder="little").tobytes()
-        return pa.table({"block": pa.array([int(at[0]) // block], pa.int64()), "set": pa.array([packed], pa.binary())})
-
-    low = F.col("hash").bitwiseAND(bits - 1)
-    high = F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1)
-    at = hashes.select(F.explode(F.array(low, high)).alias("at"))
-    got = at.groupBy(F.floor(F.col("at") / block)).applyInArrow(pack, "block bigint, set binary").collect()
-    out = np.zeros((bits // block, block // 64), np.uint64)
+    got = rows.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(total, "block int, counts binary").collect()
+    out = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint32)
     for r in got:
-        out[r.block] = np.frombuffer(bytes(r.set), np.uint64)
+        out[r.block] = np.frombuffer(bytes(r.counts), np.uint32)
     return out.reshape(-1)
 
 
-def containers(docs: DataFrame, asked: DataFrame, ratio: float, bits: int) -> DataFrame:
-    """(a, b): who asked and a set over ``ratio`` times as large, of any size, that may contain it.
+def posted(docs: DataFrame, counts, buckets: int, widths: Callable[[int, bool], tuple[int, int]]) -> DataFrame:
+    """Postings of (id, text, asks), packed: a row a bucket of shingles and slice of documents.
 
-    ``asked`` has (id, size, need, sieve, hash), a row a shingle that is sought.
-    Two bitmaps of ``bits`` bits keep shingles back that nobody seeks; they only save
-    rows, the join decides.
+    ``widths`` gives how many of a set's shingles are posted, rarest first, and how
+    many of these are marked by their lowest bit.  ``length`` counts the shingles
+    of a run, which are of one document.
     """
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(packed_bitmap(asked.where(c).select("hash"), bits)) for c in ("not sieve", "sieve")]
-
-    def sought(s: np.ndarray, bitset: np.ndarray) -> np.ndarray:
-        for k in (0, 1):
-            at = probes(s, bits)[k]
-            s = s[(bitset[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-        return s
+    schema = "bucket int, low binary, id binary, size binary, length binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, some = (h.value for h in held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
         for whole in batches:
-            for part in byte_slices(whole, "text", 512 << 10):
-                sets = shingle_sets(part.column(1).to_pylist(), WIDTH)
-                sent = [np.concatenate([sought(s, every), sought(sieved(s), some)]) for s in sets]
-                count = [len(x) for x in sent]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), count)))
-                size = np.repeat(np.array([len(s) for s in sets], np.int64), count)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(np.concatenate(sent).view(np.int64))], ["b", "b_size", "hash"])
+            for part in byte_slices(whole, "text", 4 << 20):
+                ids, sizes, sets, marks = [], [], [], []
+                for i, asks, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), WIDTH)):
+                    n = len(s)
+                    if n:
+                        most, marked = widths(n, asks)
+                        if most < n or marked:
+                            s = s[np.argsort(table[slots(s)], kind="stable")][:most]
+                        ids.append(i)
+                        sizes.append(n)
+                        sets.append(s)
+                        marks.append(np.arange(len(s)) < marked)
+                if not ids:
+                    continue
+                h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, doc = bucket[order], doc[order]
+                low = (h[order] & np.uint64(0xFFFFFFFE)).astype(np.uint32) | np.concatenate(marks)[order].astype(np.uint32)
+                first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
+                length = np.diff(np.append(first, len(doc))).astype(np.uint32)
+                run_id, run_size = np.array(ids, np.int64)[doc[first]], np.array(sizes, np.uint32)[doc[first]]
+                cut = np.flatnonzero(np.concatenate(([True], bucket[first][1:] != bucket[first][:-1])))
+                ends = np.append(cut[1:], len(first))
+                at = np.append(first, len(doc))
+                cols = (
+                    bucket[first[cut]].astype(np.int32),
+                    [low[at[a] : at[b]].tobytes() for a, b in zip(cut, ends)],
+                    *([x[a:b].tobytes() for a, b in zip(cut, ends)] for x in (run_id, run_size, length)),
+                )
+                types = (pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, id, size, marked) of the postings of a bucket whose shingle another one has, too; by shingle, size and id."""
+    whole = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    low, length = whole("low", np.uint32), whole("length", np.uint32)
+    key = low >> np.uint32(1)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) > 1 else order[:0]
+    at = np.repeat(np.arange(len(length)), length)[order]
+    ids, size = whole("id", np.int64)[at], whole("size", np.uint32)[at]
+    again = np.lexsort((ids, size, key[order]))
+    order = order[again]
+    return key[order].astype(np.uint64), ids[again], size[again], (low[order] & np.uint32(1)) == 1
+
+
+def spans(x: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) for every y from ``first`` until before ``last``, in portions of about ``most``."""
+    n = np.maximum(last - first, 0)
+    x, first, n = x[n > 0], first[n > 0], n[n > 0]
+    ends, start = np.cumsum(n), 0
+    while start < len(n):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        k = n[start:stop]
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        yield np.repeat(x[start:stop], k), np.repeat(first[start:stop], k) + place
+        start = stop
+
+
+def until(key: np.ndarray, size: np.ndarray, ratio: float) -> np.ndarray:
+    """By row, where those of its shingle end that are at most ``ratio`` times as large."""
+    largest = np.floor(size * ratio + 1e-9).astype(np.uint64)
+    return np.searchsorted((key << np.uint64(32)) | size.astype(np.uint64), (key << np.uint64(32)) | largest, "right")
+
+
+def holders(key: np.ndarray) -> np.ndarray:
+    """By row, how many rows have its shingle."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    return np.repeat(n, n)
+
+
+def counted(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, how often) of the pairs of rows as pairs of different ids."""
+    different, number = np.unique(ids, return_inverse=True)
+    code, n, waiting = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    held = [(code, n)]
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        out, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return out, np.bincount(back, np.concatenate([k for _, k in held]), len(out)).astype(np.int64)
+
+    for x, y in found:
+        x, y = number[x], number[y]
+        held.append(np.unique(x[x != y] * len(different) + y[x != y], return_counts=True))
+        waiting += len(held[-1][0])
+        if waiting > 1 << 22:
+            held, waiting = [merged()], 0
+    code, n = merged()
+    return (*(different[k] for k in divmod(code, max(1, len(different)))), n)
+
+
+def candidates(postings: DataFrame, ratio: float) -> DataFrame:
+    """(a, b) of documents that share a posted shingle, a the smaller one, its shingle marked.
+
+    Shingles of up to DENSE holders give all their pairs.  Of more holders each comes
+    with the STEPS next larger ones, and all of them are returned as (id, key, size,
+    marked) for ``rest``.
+    """
 
-    answered = docs.where("id is not null").mapInArrow(answer, "b bigint, b_size bigint, hash bigint")
-    met = asked.join(answered, "hash").where(F.col("b_size") > ratio * F.col("size")).select("id", "b", "need", "hash").distinct()
-    return met.groupBy(F.col("id").alias("a"), "b", "need").count().where("count >= need").select("a", "b")
+    def run(t: pa.Table) -> pa.Table:
+        key, ids, size, marked = unpacked(t)
+        many = holders(key) > DENSE
+        first, last = np.arange(len(key)) + 1, until(key, size, ratio)
+        last = np.where(many, np.minimum(last, first + STEPS), last)
+        a, b, _ = counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked]))
+        left = (key[many] << np.uint64(20)).astype(np.int64) | t.column("bucket")[0].as_py() if many.any() else np.empty(0, np.int64)
+        none = len(a), len(left)
+        return pa.table({
+            "a": pa.array(np.concatenate([a, ids[many]])),
+            "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(none[1], pa.int64())]),
+            "key": pa.concat_arrays([pa.nulls(none[0], pa.int64()), pa.array(left, pa.int64())]),
+            "size": pa.concat_arrays([pa.nulls(none[0], pa.int64()), pa.array(size[many].astype(np.int64), pa.int64())]),
+            "marked": pa.concat_arrays([pa.nulls(none[0], pa.bool_()), pa.array(marked[many], pa.bool_())]),
+        })
+
+    return postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, key bigint, size bigint, marked boolean")
+
+
+def rest(left: DataFrame, roots: DataFrame, ratio: float, buckets: int) -> DataFrame:
+    """(a, b), the pairs of many holders of a shingle that no component joins yet: all of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        got = {c: t.column(c).to_numpy() for c in ("key", "id", "size", "marked", "root")}
+        order = np.lexsort((got["id"], got["size"], got["key"]))
+        got = {c: x[order] for c, x in got.items()}
+        key, root = np.unique(got["key"], return_inverse=True)[1].astype(np.uint64), got["root"]
+        x = np.flatnonzero(got["marked"])
+        last = until(key, got["size"], ratio)
+        apart = ((x[root[x] != root[y]], y[root[x] != root[y]]) for x, y in spans(x, x + 1, last[x]))
+        a, b, _ = counted(got["id"], apart)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    named = left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    named = named.join(mixed, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return named.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def containers(postings: DataFrame, ratio: float, contain_t: float) -> DataFrame:
+    """(a, b): who asked by marked shingles and a set over ``ratio`` times as large with enough of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, ids, size, marked = unpacked(t)
+        end = np.searchsorted(key, key, "right")
+        a, b, hits = counted(ids, spans(np.flatnonzero(marked), until(key, size, ratio)[marked], end[marked]))
+        asked, at = np.unique(ids[marked], return_index=True)
+        need = size[marked][at].astype(np.int64)[np.searchsorted(asked, a)] if len(a) else np.empty(0, np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "size": pa.array(need, pa.int64()), "hits": pa.array(hits, pa.int64())})
+
+    hits = postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, size bigint, hits bigint")
+    need = F.least(F.lit(NEEDED), F.ceil(contain_t * F.col("size") - 1e-9))
+    return hits.groupBy("a", "b", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= need).select("a", "b")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -429,31 +372,23 @@ def classes(
     copy_ratio: float = 1.6,
     contain_t: float = 0.8,
     min_shingles: int = 16,
-    base: float = 1.25,
-    recall: float = 0.95,
-    hashes: int = 192,
-    sketch_sigmas: float = 3.0,
-    seed: int = 11,
-    bits: int = 1 << 26,
 ) -> DataFrame:
     """(id, kept, links, containment) of every row of (id, text) that is linked with another.
 
     Ids are different whole numbers.
     """
     spark = src.sparkSession
-    ens = ensemble(copy_t, copy_ratio, base, recall, hashes, min_shingles)
-    often = spark.sparkContext.broadcast(common_shingles(src))
-    sigs = materialise(signatures(src, ens, often, min_shingles, contain_t, seed), "signatures")
-    # Rows of equal words become one before anything is joined; partial maxima travel.
-    first = F.min(F.struct("id", *(c for c in sigs.columns if c not in ("id", "name")))).alias("first")
-    names = sigs.groupBy("name").agg(first, F.count("*").alias("n")).select("name", "first.*", "n")
+    sets = materialise(described(src), "sets")
+    counts = spark.sparkContext.broadcast(shingle_counts(sets))
+    sets_of = sets.where("id is not null").select("id", "size", "name")
+    # Equal sets become one before anything is joined; partial minima travel.
+    names = sets_of.groupBy("name").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.count("*").alias("n"))
     names = materialise(names, "names")
-    several = names.where("n > 1").select("name", F.col("id").alias("rep"), "n")
-    same = materialise(sigs.select("id", "name").join(several, "name").select("id", "rep", "n"), "copies", sigs)
+    several = names.where("n > 1").select("name", F.col("id").alias("rep"))
+    same = materialise(sets_of.select("id", "name").join(several, "name").where("id != rep").select("id", "rep"), "copies", sets)
 
-    rows = banded(names, ens)
-    rows = materialise(buckets(rows, names.select("id", "bits", "extras"), hot_keys(rows)), "buckets")
-    tried = materialise(candidates(rows, ens, copy_t, sketch_sigmas), "candidates", rows)
+    shingles = names.agg(F.sum("size")).first()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles >> 22), 1 << 20)
     smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     is_copy = (F.col("c") >= copy_t) & (F.col("ratio") <= copy_ratio)
     is_inside = (F.col("c") >= contain_t) & (F.col("ratio") > copy_ratio)
@@ -462,21 +397,40 @@ def classes(
         found = overlaps(src, pairs).withColumns({"c": F.col("common") / smaller, "ratio": larger / smaller})
         return materialise(found.where(is_copy | is_inside), "verified")
 
+    def copy_widths(n: int, asks: bool) -> tuple[int, int]:
+        return n - least_common(n, copy_t / copy_ratio) + 1, n - least_common(n, copy_t) + 1
+
+    def container_widths(n: int, asks: bool) -> tuple[int, int]:
+        least = least_common(n, contain_t)
+        return n, n - least + min(NEEDED, least) if asks else 0
+
+    texts = src.join(same.select("id"), "id", "left_anti").select("id", "text", F.lit(True).alias("asks"))
+    met = materialise(candidates(posted(texts, counts, buckets, copy_widths), copy_ratio), "met")
+    tried = materialise(met.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
     found = verified(tried)
-    comp = components(found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = components(edges)
+    # Many holders of a shingle were paired in part: whatever no component joins is paired now.
+    left = met.where("key is not null").select(F.col("a").alias("id"), "key", "size", "marked")
+    apart = rest(left, comp.select(F.col("node").alias("id"), "root"), copy_ratio, buckets)
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    apart = materialise(apart, "apart", met, tried)
+    more = verified(apart)
+    if more.limit(1).count():
+        edges = more.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        before = comp
+        comp = components(before.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges))
+        drop_tables(spark, before)
     sized = names.select("id", "size").join(comp.select(F.col("node").alias("id"), "root"), "id", "left")
     sized = sized.withColumn("root", F.coalesce("root", "id"))
     best = sized.groupBy("root").agg(F.max(F.struct("size", (-F.col("id")).alias("neg"))).alias("best"))
-    member = materialise(sized.join(best, "root").select("id", (-F.col("best.neg")).alias("head")), "members", comp)
+    member = materialise(sized.join(best, "root").select("id", "size", (-F.col("best.neg")).alias("head")), "members", comp)
     # Containers of any size are sought for what is the largest of its group.
-    heads = member.where("id = head").select("id")
-    asked = materialise(names.join(heads, "id").select("id", "size", "need", "sieve", F.explode("sent").alias("hash")), "probes")
-    others = same.where("id != rep").select(F.col("id").alias("b"))
-    within = containers(src, asked, copy_ratio, bits).join(others, "b", "left_anti").select("a", "b")
-    pair = lambda df: df.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-    within = materialise(pair(within).join(pair(found).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b"), "candidates", asked)
+    roles = member.select("id", ((F.col("id") == F.col("head")) & (F.col("size") >= min_shingles)).alias("asks"))
+    texts = src.join(roles, "id").select("id", "text", "asks")
+    within = materialise(containers(posted(texts, counts, buckets, container_widths), copy_ratio, contain_t), "within", apart)
     inside = verified(within)
-    found = materialise(found.union(inside), "links", found, inside, tried, within)
+    found = materialise(found.union(more).union(inside), "links", found, more, inside, within)
     # A group's head that lies in a larger document of another group points there;
     # heads grow strictly along these pointers, so they form a forest.
     small = F.when(F.col("size_a") <= F.col("size_b"), F.col("a")).otherwise(F.col("b"))
@@ -500,17 +454,15 @@ def classes(
         up = _without(up, "m")
     kept = member.join(up.select(F.col("id").alias("head"), "parent"), "head", "left").select("id", F.coalesce("parent", "head").alias("kept"))
     ends = found.select(F.col("a").alias("id"), "c").union(found.select(F.col("b").alias("id"), "c"))
-    links = ends.groupBy("id").agg(F.count("*").alias("partners"), F.max("c").alias("most"))
-    # Every text that is linked or repeated, then every row of it.
-    texts = kept.join(links, "id", "full").join(same.where("id = rep").select("id", "n"), "id", "left").where("partners is not null or n is not null")
-    texts = texts.select(
-        F.col("id").alias("rep"), "kept",
-        (F.coalesce("partners", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"),
-        F.when(F.col("n").isNotNull(), F.lit(1.0)).otherwise(F.col("most")).alias("containment"),
+    most = ends.groupBy("id").agg(F.max("c").alias("most"))
+    # Every text of a class of several rows, then every row of it.
+    kept = materialise(kept.join(names.select("id", "n"), "id"), "kept", member, up)
+    many = kept.groupBy("kept").agg(F.sum("n").alias("rows")).where("rows > 1")
+    texts = kept.join(many, "kept").join(most, "id", "left").select(
+        F.col("id").alias("rep"), "kept", (F.col("rows") - 1).alias("links"), F.when(F.col("n") > 1, F.lit(1.0)).otherwise(F.col("most")).alias("containment")
     )
-    again = same.where("id != rep").select("id", "rep")
-    every = texts.select("rep").select(F.col("rep").alias("id"), "rep").union(again).join(texts, "rep")
-    return materialise(every.select("id", "kept", "links", "containment"), "classes", names, same, member, found, up)
+    every = texts.select("rep").select(F.col("rep").alias("id"), "rep").union(same).join(texts, "rep")
+    return materialise(every.select("id", "kept", "links", "containment"), "classes", names, same, kept, found)
 
 
 def _without(df: DataFrame, column: str) -> DataFrame:
@@ -523,9 +475,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, kept_id, links, containment): one row for every document that is linked with another.
 
     ``kept_id`` names the class by the document that stays, which has a row of its
-    own (its own id, or none where nothing else is linked with it).  ``links`` counts
-    the documents that were checked to be copies or containers of its words, and
-    those of equal words; ``containment`` is the largest share found.
+    own.  ``links`` counts the other documents of the class; ``containment`` is the
+    largest share among the pairs that were checked, 1 where sets are equal.
 
     Copies are sought for sets of any size, containers for those of ``min_shingles``
     and more: shorter ones lie in larger texts as mere phrases.  Null, empty and

@@ -174,6 +174,25 @@ def test_a_large_group_and_edited_copies(spark):
     assert len([i for i in ids if i < 400]) == 1 and len([i for i in ids if i >= 400]) == 100
 
 
+def test_every_copy_is_found(spark):
+    """Pairs just at the threshold, and pairs whose common shingles all have 42 holders of sizes between theirs."""
+    rng = random.Random(21)
+    v = vocabulary(rng, 9000)
+    texts, want = [], {}
+    for _ in range(300):
+        small = rng.choices(v, k=104)
+        want[len(texts)] = len(texts) + 1
+        texts += [small, small[20:84] + rng.choices(v, k=95)]
+    for _ in range(6):
+        one, two = rng.choices(v, k=60), rng.choices(v, k=60)
+        want[len(texts)] = len(texts) + 1
+        texts += [one + two + rng.choices(v, k=60), one + two + rng.choices(v, k=140)]
+        texts += [part + rng.choices(v, k=rng.randint(130, 190)) for part in (one, two) for _ in range(40)]
+    rows = near_dedup.near_duplicates(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert {r.doc_id: r.kept_doc_id for r in rows} == want | {i: i for i in want.values()}
+    assert {r.links for r in rows} == {1}
+
+
 def test_copies_among_holders_of_a_passage(spark):
     """Each of 60 pairs shares its buckets with 1,500 larger and equal texts that hold the same passage."""
     rng = random.Random(14)
