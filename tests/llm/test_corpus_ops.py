@@ -193,6 +193,15 @@ def test_every_copy_is_found(spark):
     assert {r.links for r in rows} == {1}
 
 
+def test_shingles_are_counted_over_all_documents(spark):
+    """6,000 documents; a sample of about 4,000 would leave some out."""
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k % 3}" for k in range(6000)]
+    got = near_dedup.shingle_counts(near_dedup.described(docs(spark, texts).select(F.col("doc_id").alias("id"), "text")))
+    sets = np.concatenate(near_dedup.shingle_sets(texts, near_dedup.WIDTH))
+    assert got.sum() == len(sets) == 12000
+    assert (got == np.bincount(near_dedup.slots(sets), minlength=len(got))).all()
+
+
 def test_copies_among_holders_of_a_passage(spark):
     """Each of 60 pairs shares its buckets with 1,500 larger and equal texts that hold the same passage."""
     rng = random.Random(14)
