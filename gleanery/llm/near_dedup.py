@@ -11,7 +11,7 @@ one's first (1 - c/r) n + 1 have one in common, and a join of these postings mis
 nothing.  Postings are packed by bucket of shingles, and a bucket is joined in numpy.
 
 A shingle of up to DENSE holders gives all pairs of them.  Where there are more, each
-is first paired with the next larger ones; when the components of what was found
+is first paired with the largest one allowed; when the components of what was found
 are known, all pairs of holders that no component joins follow (``rest``).  So a
 thousand edited copies need no half million checks, but no two documents that
 are copies end in different groups.
@@ -48,8 +48,8 @@ from .common import byte_slices, drop_tables, materialise, shingle_sets, unused
 WIDTH = 5
 #: Shingles are counted in 2 ** SLOT_BITS slots, which travel in blocks.
 SLOT_BITS, BLOCK_BITS = 20, 16
-#: Up to this many holders of a shingle are paired at once, more of them by steps.
-DENSE, STEPS = 16, 3
+#: Up to this many holders of a shingle are paired at once, more of them with the largest first.
+DENSE = 4
 #: Hits that a container must have among the shingles that a set sends.
 NEEDED = 7
 
@@ -232,15 +232,15 @@ def candidates(postings: DataFrame, ratio: float) -> DataFrame:
     """(a, b) of documents that share a posted shingle, a the smaller one, its shingle marked.
 
     Shingles of up to DENSE holders give all their pairs.  Of more holders each comes
-    with the STEPS next larger ones, and all of them are returned as (id, key, size,
-    marked) for ``rest``.
+    with the largest one that the ratio allows, and all of them are returned as (id,
+    key, size, marked) for ``rest``.
     """
 
     def run(t: pa.Table) -> pa.Table:
         key, ids, size, marked = unpacked(t)
         many = holders(key) > DENSE
         first, last = np.arange(len(key)) + 1, until(key, size, ratio)
-        last = np.where(many, np.minimum(last, first + STEPS), last)
+        first = np.where(many, np.maximum(first, last - 1), first)
         a, b, _ = counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked]))
         left = (key[many] << np.uint64(20)).astype(np.int64) | t.column("bucket")[0].as_py() if many.any() else np.empty(0, np.int64)
         none = len(a), len(left)
@@ -395,6 +395,7 @@ def classes(
 
     def verified(pairs: DataFrame) -> DataFrame:
         found = overlaps(src, pairs).withColumns({"c": F.col("common") / smaller, "ratio": larger / smaller})
+        spark.sparkContext._jvm.System.gc()  # shuffle files of steps before go with their objects
         return materialise(found.where(is_copy | is_inside), "verified")
 
     def copy_widths(n: int, asks: bool) -> tuple[int, int]:
@@ -406,15 +407,14 @@ def classes(
 
     texts = src.join(same.select("id"), "id", "left_anti").select("id", "text", F.lit(True).alias("asks"))
     met = materialise(candidates(posted(texts, counts, buckets, copy_widths), copy_ratio), "met")
-    tried = materialise(met.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    tried = materialise(met.where("key is null").select("a", "b").distinct(), "tried")
     found = verified(tried)
     edges = found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comp = components(edges)
     # Many holders of a shingle were paired in part: whatever no component joins is paired now.
     left = met.where("key is not null").select(F.col("a").alias("id"), "key", "size", "marked")
     apart = rest(left, comp.select(F.col("node").alias("id"), "root"), copy_ratio, buckets)
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    apart = materialise(apart, "apart", met, tried)
+    apart = materialise(apart.join(tried, ["a", "b"], "left_anti"), "apart", met, tried)
     more = verified(apart)
     if more.limit(1).count():
         edges = more.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -426,9 +426,10 @@ def classes(
     best = sized.groupBy("root").agg(F.max(F.struct("size", (-F.col("id")).alias("neg"))).alias("best"))
     member = materialise(sized.join(best, "root").select("id", "size", (-F.col("best.neg")).alias("head")), "members", comp)
     # Containers of any size are sought for what is the largest of its group.
-    roles = member.select("id", ((F.col("id") == F.col("head")) & (F.col("size") >= min_shingles)).alias("asks"))
-    texts = src.join(roles, "id").select("id", "text", "asks")
-    within = materialise(containers(posted(texts, counts, buckets, container_widths), copy_ratio, contain_t), "within", apart)
+    silent = member.where((F.col("id") != F.col("head")) | (F.col("size") < min_shingles))
+    silent = materialise(silent.select("id", F.lit(False).alias("asks")), "silent")
+    texts = src.join(same.select("id"), "id", "left_anti").join(silent, "id", "left").select("id", "text", F.coalesce("asks", F.lit(True)).alias("asks"))
+    within = materialise(containers(posted(texts, counts, buckets, container_widths), copy_ratio, contain_t), "within", apart, silent)
     inside = verified(within)
     found = materialise(found.union(more).union(inside), "links", found, more, inside, within)
     # A group's head that lies in a larger document of another group points there;
