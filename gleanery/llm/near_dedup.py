@@ -6,23 +6,26 @@ order of all shingles, rare ones first.  The order only saves work: any other on
 gives the same result.
 
 Copies share at least c of the smaller set, which is at least 1/r of the larger.  So
-the smaller one's first (1 - c) n + 1 shingles in the common order and the larger
-one's first (1 - c/r) n + 1 have one in common, and a join of these postings misses
-nothing.  Postings are packed by bucket of shingles, and a bucket is joined in numpy.
-
-A shingle of up to DENSE holders gives all pairs of them.  Where there are more, each
-is first paired with the largest one allowed; when the components of what was found
-are known, all pairs of holders that no component joins follow (``rest``).  So a
-thousand edited copies need no half million checks, but no two documents that
-are copies end in different groups.
+the smaller one's first (1 - c) n + k shingles in the common order and the larger
+one's first (1 - c/r) n + k have k in common, and a join of these postings that counts
+hits misses nothing.  k grows with the set (``enough``): long texts that share a few
+phrases are not checked.  Postings are packed by bucket of shingles, and a bucket is
+joined in numpy.
+
+A shingle of up to DENSE holders gives a hit to all pairs of them.  Where there are
+more, each first meets the largest one allowed; when the components of what was found
+are known, all pairs of holders that no component joins get the hits they lack
+(``rest``).  So a thousand edited copies need no half million checks, but no two
+documents that are copies end in different groups.
 
 A set that lies to c in a larger one misses at most (1 - c) n of its shingles there,
 so of its first (1 - c) n + NEEDED the larger one holds NEEDED, of whatever size it is.
 The largest document of each group asks with these, all documents answer with all
 shingles.
 
-Every pair is checked exactly: the texts of both are brought together and the
-containment of the 5-gram sets is computed, nothing is estimated.
+Every pair with enough hits is checked exactly: the texts of both are brought together
+and the containment of the 5-gram sets is computed, nothing is estimated.  A bitmap of
+the ids that are needed keeps most other texts from travelling (``among``).
 
 Result.  Two documents are copies when at least ``copy_t`` of the smaller set
 lies in the larger, which is at most ``copy_ratio`` times as large.  Copies are
@@ -37,6 +40,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,8 +54,10 @@ WIDTH = 5
 SLOT_BITS, BLOCK_BITS = 20, 16
 #: Up to this many holders of a shingle are paired at once, more of them with the largest first.
 DENSE = 4
-#: Hits that a container must have among the shingles that a set sends.
-NEEDED = 7
+#: Hits that a container must have among the shingles that a set sends; copies need one more for every PER_HIT shingles.
+NEEDED, PER_HIT = 7, 32
+#: Bits of the map of ids whose texts are needed; it travels in blocks.
+SIEVE_BITS, SIEVE_BLOCK_BITS = 25, 18
 
 
 def jaccard_threshold(containment: float, ratio: float) -> float:
@@ -73,6 +79,11 @@ def least_common(n: int, share: float) -> int:
     return math.ceil(share * n - 1e-9)
 
 
+def enough(least: int, n: int) -> int:
+    """Hits that copies must have of which at least ``least`` shingles are common, the smaller of n."""
+    return min(least, NEEDED + n // PER_HIT)
+
+
 def slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -228,12 +239,18 @@ def counted(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return (*(different[k] for k in divmod(code, max(1, len(different)))), n)
 
 
+def of_ids(some: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sizes of some of the ids."""
+    different, at = np.unique(ids, return_index=True)
+    return size[at][np.searchsorted(different, some)].astype(np.int64) if len(some) else np.empty(0, np.int64)
+
+
 def candidates(postings: DataFrame, ratio: float) -> DataFrame:
-    """(a, b) of documents that share a posted shingle, a the smaller one, its shingle marked.
+    """(a, b, size of b, hits) by bucket, the posted shingles that both have, a the smaller one, its shingle marked.
 
-    Shingles of up to DENSE holders give all their pairs.  Of more holders each comes
-    with the largest one that the ratio allows, and all of them are returned as (id,
-    key, size, marked) for ``rest``.
+    Shingles of up to DENSE holders give a hit to all their pairs.  Of more holders each
+    meets the largest one that the ratio allows only, and all of them are returned as
+    (id, key, size, marked) for ``rest``.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -241,22 +258,23 @@ def candidates(postings: DataFrame, ratio: float) -> DataFrame:
         many = holders(key) > DENSE
         first, last = np.arange(len(key)) + 1, until(key, size, ratio)
         first = np.where(many, np.maximum(first, last - 1), first)
-        a, b, _ = counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked]))
+        a, b, hits = counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked]))
         left = (key[many] << np.uint64(20)).astype(np.int64) | t.column("bucket")[0].as_py() if many.any() else np.empty(0, np.int64)
         none = len(a), len(left)
         return pa.table({
             "a": pa.array(np.concatenate([a, ids[many]])),
             "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(none[1], pa.int64())]),
             "key": pa.concat_arrays([pa.nulls(none[0], pa.int64()), pa.array(left, pa.int64())]),
-            "size": pa.concat_arrays([pa.nulls(none[0], pa.int64()), pa.array(size[many].astype(np.int64), pa.int64())]),
+            "size": pa.array(np.concatenate([of_ids(b, ids, size), size[many].astype(np.int64)]), pa.int64()),
             "marked": pa.concat_arrays([pa.nulls(none[0], pa.bool_()), pa.array(marked[many], pa.bool_())]),
+            "hits": pa.concat_arrays([pa.array(hits, pa.int64()), pa.nulls(none[1], pa.int64())]),
         })
 
-    return postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, key bigint, size bigint, marked boolean")
+    return postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, key bigint, size bigint, marked boolean, hits bigint")
 
 
 def rest(left: DataFrame, roots: DataFrame, ratio: float, buckets: int) -> DataFrame:
-    """(a, b), the pairs of many holders of a shingle that no component joins yet: all of them."""
+    """(a, b, size of b, hits) by bucket, of holders of ``left`` that no component joins yet: all hits that ``candidates`` has not given."""
 
     def run(t: pa.Table) -> pa.Table:
         got = {c: t.column(c).to_numpy() for c in ("key", "id", "size", "marked", "root")}
@@ -264,15 +282,16 @@ def rest(left: DataFrame, roots: DataFrame, ratio: float, buckets: int) -> DataF
         got = {c: x[order] for c, x in got.items()}
         key, root = np.unique(got["key"], return_inverse=True)[1].astype(np.uint64), got["root"]
         x = np.flatnonzero(got["marked"])
-        last = until(key, got["size"], ratio)
+        last = until(key, got["size"], ratio) - 1
         apart = ((x[root[x] != root[y]], y[root[x] != root[y]]) for x, y in spans(x, x + 1, last[x]))
-        a, b, _ = counted(got["id"], apart)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, hits = counted(got["id"], apart)
+        cols = {"a": a, "b": b, "size": of_ids(b, got["id"], got["size"]), "hits": hits}
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in cols.items()})
 
     named = left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     named = named.join(mixed, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return named.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+    return named.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, size bigint, hits bigint")
 
 
 def containers(postings: DataFrame, ratio: float, contain_t: float) -> DataFrame:
@@ -291,6 +310,29 @@ def containers(postings: DataFrame, ratio: float, contain_t: float) -> DataFrame
     return hits.groupBy("a", "b", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= need).select("a", "b")
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these ids, and a few more by chance; no document is sent for that."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << SIEVE_BITS))
+
+    def bits(t: pa.Table) -> pa.Table:
+        out = np.zeros(1 << SIEVE_BLOCK_BITS, np.uint8)
+        out[t.column("place").to_numpy() & ((1 << SIEVE_BLOCK_BITS) - 1)] = 1
+        return pa.table({"block": t.column("block")[:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    placed = ids.select(place.alias("place")).select("place", F.shiftright("place", SIEVE_BLOCK_BITS).cast("int").alias("block"))
+    whole = np.zeros((1 << (SIEVE_BITS - SIEVE_BLOCK_BITS), 1 << (SIEVE_BLOCK_BITS - 3)), np.uint8)
+    for r in placed.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():
+        whole[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def needed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1) == 1)
+
+    return docs.where(needed(place))
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact (a, b, size_a, size_b, common) for every candidate pair.
 
@@ -300,7 +342,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = pairs.select(F.col("a").alias("id"), F.col("b").alias("to")).union(
         pairs.select(F.col("b").alias("id"), F.col("b").alias("to")).distinct()
     )
-    sent = docs.join(needed, "id").select("to", "id", "text")
+    sent = among(docs, needed.select("id")).join(needed, "id").select("to", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, head_set = None, None
@@ -399,7 +441,9 @@ def classes(
         return materialise(found.where(is_copy | is_inside), "verified")
 
     def copy_widths(n: int, asks: bool) -> tuple[int, int]:
-        return n - least_common(n, copy_t / copy_ratio) + 1, n - least_common(n, copy_t) + 1
+        least, marked = least_common(n, copy_t / copy_ratio), least_common(n, copy_t)
+        marked = n - marked + enough(marked, n)
+        return max(marked, n - least + enough(least, int(n / copy_ratio))), marked
 
     def container_widths(n: int, asks: bool) -> tuple[int, int]:
         least = least_common(n, contain_t)
@@ -407,14 +451,20 @@ def classes(
 
     texts = src.join(same.select("id"), "id", "left_anti").select("id", "text", F.lit(True).alias("asks"))
     met = materialise(candidates(posted(texts, counts, buckets, copy_widths), copy_ratio), "met")
-    tried = materialise(met.where("key is null").select("a", "b").distinct(), "tried")
-    found = verified(tried)
+    # Of b's size, what the larger one's prefix warrants: ``enough`` there.
+    hit = F.sum("hits").alias("hits")
+    need = F.least(F.ceil(copy_t / copy_ratio * F.col("size") - 1e-9), NEEDED + F.floor(F.floor(F.col("size") / copy_ratio) / PER_HIT))
+    pairs = met.where("key is null").groupBy("a", "b", "size").agg(hit).withColumn("tried", F.col("hits") >= need)
+    pairs = materialise(pairs, "pairs")
+    found = verified(pairs.where("tried").select("a", "b"))
     edges = found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comp = components(edges)
-    # Many holders of a shingle were paired in part: whatever no component joins is paired now.
+    # Many holders of a shingle got hits in part: whatever no component joins gets the others now.
     left = met.where("key is not null").select(F.col("a").alias("id"), "key", "size", "marked")
     apart = rest(left, comp.select(F.col("node").alias("id"), "root"), copy_ratio, buckets)
-    apart = materialise(apart.join(tried, ["a", "b"], "left_anti"), "apart", met, tried)
+    apart = apart.withColumn("tried", F.lit(False)).union(pairs.select("a", "b", "size", "hits", "tried"))
+    apart = apart.groupBy("a", "b", "size").agg(hit, F.max("tried").alias("tried")).where(~F.col("tried") & (F.col("hits") >= need))
+    apart = materialise(apart.select("a", "b"), "apart", met, pairs)
     more = verified(apart)
     if more.limit(1).count():
         edges = more.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -202,6 +202,45 @@ def test_shingles_are_counted_over_all_documents(spark):
     assert (got == np.bincount(near_dedup.slots(sets), minlength=len(got))).all()
 
 
+def test_texts_sharing_few_phrases_are_not_sent(spark, monkeypatch):
+    """60 texts, every two of which share 4 rare shingles, and 10 pairs of copies: the copies alone are checked."""
+    rng = random.Random(33)
+    v = vocabulary(rng, 9000)
+    texts = [rng.choices(v, k=400) for _ in range(60)]
+    for a in range(60):
+        for b in range(a):
+            if (a + b) % 7 == 0:
+                phrase = rng.choices(v, k=8)
+                texts[a], texts[b] = texts[a] + phrase, texts[b] + phrase
+    texts += [t[:300] + rng.choices(v, k=60) for t in texts[:10]]
+    checked, sent = [], []
+    overlaps, among = near_dedup.overlaps, near_dedup.among
+    monkeypatch.setattr(near_dedup, "overlaps", lambda d, p: checked.extend((r.a, r.b) for r in p.collect()) or overlaps(d, p))
+    monkeypatch.setattr(near_dedup, "among", lambda d, i: sent.append(among(d, i)) or sent[-1])
+    gone = lost(near_dedup.near_duplicates(docs(spark, [" ".join(t) for t in texts])))
+    assert {frozenset(x) for x in gone.items()} == {frozenset((k, 60 + k)) for k in range(10)}
+    assert {frozenset(x) for x in checked} == {frozenset((k, 60 + k)) for k in range(10)} and len(checked) == 10
+    assert {r.id for r in sent[0].select("id").collect()} == {*range(10), *range(60, 70)}
+
+
+def test_hits_of_rare_and_frequent_shingles_add_up(spark):
+    """Pairs at the threshold whose rarest common shingles are theirs alone in part, and in part of 42 others, larger ones among them."""
+    rng = random.Random(34)
+    v = vocabulary(rng, 9000)
+    texts, want = [], {}
+    for k in range(8):
+        one, two = rng.choices(v, k=40), rng.choices(v, k=64 + k % 4)
+        small = int((len(one + two) - 4) / 0.6) + 4 - k % 3
+        want[len(texts)] = len(texts) + 1
+        texts += [one + two + rng.choices(v, k=small - len(one + two)), one + two + rng.choices(v, k=int(1.3 * small) - len(one + two))]
+        texts += [part + rng.choices(v, k=rng.choice([130, 170, 200])) for part in (one, two) for _ in range(42)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    pairs, size = brute_pairs(rows)
+    copies = {(a, b) for a, b, m, n, c in pairs if c >= 0.6 and n <= 1.6 * m}
+    assert copies == set(want.items())
+    assert lost(near_dedup.near_duplicates(docs(spark, [t for _, t in rows]))) == want
+
+
 def test_copies_among_holders_of_a_passage(spark):
     """Each of 60 pairs shares its buckets with 1,500 larger and equal texts that hold the same passage."""
     rng = random.Random(14)
