@@ -15,8 +15,12 @@ joined in numpy.
 A shingle of up to DENSE holders gives a hit to all pairs of them.  Where there are
 more, each first meets the largest one allowed; when the components of what was found
 are known, all pairs of holders that no component joins get the hits they lack
-(``rest``).  So a thousand edited copies need no half million checks, but no two
-documents that are copies end in different groups.
+(``rest``).  Where these are many for the number of texts, the likeliest pairs of two
+components are checked before the others, which by then mostly lie in one: first by the
+hits of one shingle in FIRST, then by all.  So a thousand edited copies need no half
+million checks, but no two documents that are copies end in different groups.
+Hits leave a bucket in parts of PORTION pairs, so what a task holds is its postings and
+a constant.
 
 A set that lies to c in a larger one misses at most (1 - c) n of its shingles there,
 so of its first (1 - c) n + NEEDED the larger one holds NEEDED, of whatever size it is.
@@ -38,12 +42,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +62,14 @@ SLOT_BITS, BLOCK_BITS = 20, 16
 DENSE = 4
 #: Hits that a container must have among the shingles that a set sends; copies need one more for every PER_HIT shingles.
 NEEDED, PER_HIT = 7, 32
+#: Pairs that a bucket makes at once, and different ones that it holds before it passes them on.
+PORTION = 1 << 18
+#: Pairs of holders a shingle of all texts, and pairs to check a text, up to which they are taken at once.
+HELD_AT_ONCE, CHECKED_AT_ONCE = 4, 1
+#: One shingle in so many gives hits first, of which each component has so many pairs checked.
+FIRST, TRIED = 16, 8
+#: Up to which of two components' pairs, by hits, they are checked before the components are made anew.
+ROUNDS = (1, 16, 256, None)
 #: Bits of the map of ids whose texts are needed; it travels in blocks.
 SIEVE_BITS, SIEVE_BLOCK_BITS = 25, 18
 
@@ -192,7 +206,7 @@ def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return key[order].astype(np.uint64), ids[again], size[again], (low[order] & np.uint32(1)) == 1
 
 
-def spans(x: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spans(x: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = PORTION) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(x, y) for every y from ``first`` until before ``last``, in portions of about ``most``."""
     n = np.maximum(last - first, 0)
     x, first, n = x[n > 0], first[n > 0], n[n > 0]
@@ -219,24 +233,30 @@ def holders(key: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-def counted(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, how often) of the pairs of rows as pairs of different ids."""
+def counted(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, how often) of the pairs of rows as pairs of different ids; in parts, and a pair may be in several."""
     different, number = np.unique(ids, return_inverse=True)
-    code, n, waiting = np.empty(0, np.int64), np.empty(0, np.int64), 0
-    held = [(code, n)]
+    held, waiting = [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         out, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
         return out, np.bincount(back, np.concatenate([k for _, k in held]), len(out)).astype(np.int64)
 
+    def named(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return (*(different[k] for k in divmod(code, len(different))), n)
+
     for x, y in found:
         x, y = number[x], number[y]
         held.append(np.unique(x[x != y] * len(different) + y[x != y], return_counts=True))
         waiting += len(held[-1][0])
-        if waiting > 1 << 22:
-            held, waiting = [merged()], 0
-    code, n = merged()
-    return (*(different[k] for k in divmod(code, max(1, len(different)))), n)
+        if waiting > 2 * PORTION:
+            held = [merged()]
+            waiting = len(held[0][0])
+            if waiting > PORTION:
+                yield named(*held[0])
+                held, waiting = [], 0
+    if waiting:
+        yield named(*merged())
 
 
 def of_ids(some: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -253,40 +273,52 @@ def candidates(postings: DataFrame, ratio: float) -> DataFrame:
     (id, key, size, marked) for ``rest``.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    schema = "a bigint, b bigint, key bigint, size bigint, marked boolean, hits bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        bucket = t.column("bucket")[0].as_py()
         key, ids, size, marked = unpacked(t)
+        del t
         many = holders(key) > DENSE
         first, last = np.arange(len(key)) + 1, until(key, size, ratio)
         first = np.where(many, np.maximum(first, last - 1), first)
-        a, b, hits = counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked]))
-        left = (key[many] << np.uint64(20)).astype(np.int64) | t.column("bucket")[0].as_py() if many.any() else np.empty(0, np.int64)
-        none = len(a), len(left)
-        return pa.table({
-            "a": pa.array(np.concatenate([a, ids[many]])),
-            "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(none[1], pa.int64())]),
-            "key": pa.concat_arrays([pa.nulls(none[0], pa.int64()), pa.array(left, pa.int64())]),
-            "size": pa.array(np.concatenate([of_ids(b, ids, size), size[many].astype(np.int64)]), pa.int64()),
-            "marked": pa.concat_arrays([pa.nulls(none[0], pa.bool_()), pa.array(marked[many], pa.bool_())]),
-            "hits": pa.concat_arrays([pa.array(hits, pa.int64()), pa.nulls(none[1], pa.int64())]),
-        })
+        for a, b, hits in counted(ids, spans(np.flatnonzero(marked), first[marked], last[marked])):
+            none = pa.nulls(len(a))
+            cols = a, b, none.cast(pa.int64()), of_ids(b, ids, size), none.cast(pa.bool_()), hits
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        for at in np.array_split(np.flatnonzero(many), many.sum() // PORTION + 1):
+            none = pa.nulls(len(at), pa.int64())
+            left = (key[at] << np.uint64(20)).astype(np.int64) | bucket
+            cols = ids[at], none, left, size[at].astype(np.int64), marked[at], none
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, key bigint, size bigint, marked boolean, hits bigint")
+    return postings.groupBy("bucket").applyInArrow(run, schema)
 
 
 def rest(left: DataFrame, roots: DataFrame, ratio: float, buckets: int) -> DataFrame:
     """(a, b, size of b, hits) by bucket, of holders of ``left`` that no component joins yet: all hits that ``candidates`` has not given."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         got = {c: t.column(c).to_numpy() for c in ("key", "id", "size", "marked", "root")}
         order = np.lexsort((got["id"], got["size"], got["key"]))
         got = {c: x[order] for c, x in got.items()}
-        key, root = np.unique(got["key"], return_inverse=True)[1].astype(np.uint64), got["root"]
-        x = np.flatnonzero(got["marked"])
-        last = until(key, got["size"], ratio) - 1
+        key, root = (np.unique(got[c], return_inverse=True)[1] for c in ("key", "root"))
+        last = until(key.astype(np.uint64), got["size"], ratio) - 1
+        # Who is in its shingle's largest component meets the others only: most holders are there, and their pairs are not even made.
+        _, same, n = np.unique((key << 32) | root, return_inverse=True, return_counts=True)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        most = np.maximum.reduceat(n[same], start)[key]
+        main = np.minimum.reduceat(np.where(n[same] == most, root, len(root)), start)[key]
+        others, inner = np.flatnonzero(root != main), root == main
+        x, z = np.flatnonzero(got["marked"] & ~inner), np.flatnonzero(got["marked"] & inner)
         apart = ((x[root[x] != root[y]], y[root[x] != root[y]]) for x, y in spans(x, x + 1, last[x]))
-        a, b, hits = counted(got["id"], apart)
-        cols = {"a": a, "b": b, "size": of_ids(b, got["id"], got["size"]), "hits": hits}
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in cols.items()})
+        across = ((x, others[y]) for x, y in spans(z, np.searchsorted(others, z + 1), np.searchsorted(others, last[z])))
+        for a, b, hits in counted(got["id"], chain(apart, across)):
+            cols = a, b, of_ids(b, got["id"], got["size"]), hits
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "size", "hits"])
 
     named = left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
@@ -297,13 +329,12 @@ def rest(left: DataFrame, roots: DataFrame, ratio: float, buckets: int) -> DataF
 def containers(postings: DataFrame, ratio: float, contain_t: float) -> DataFrame:
     """(a, b): who asked by marked shingles and a set over ``ratio`` times as large with enough of them."""
 
-    def run(t: pa.Table) -> pa.Table:
-        key, ids, size, marked = unpacked(t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, size, marked = unpacked(pa.Table.from_batches(list(batches)))
         end = np.searchsorted(key, key, "right")
-        a, b, hits = counted(ids, spans(np.flatnonzero(marked), until(key, size, ratio)[marked], end[marked]))
-        asked, at = np.unique(ids[marked], return_index=True)
-        need = size[marked][at].astype(np.int64)[np.searchsorted(asked, a)] if len(a) else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "size": pa.array(need, pa.int64()), "hits": pa.array(hits, pa.int64())})
+        for a, b, hits in counted(ids, spans(np.flatnonzero(marked), until(key, size, ratio)[marked], end[marked])):
+            cols = a, b, of_ids(a, ids, size), hits
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "size", "hits"])
 
     hits = postings.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, size bigint, hits bigint")
     need = F.least(F.lit(NEEDED), F.ceil(contain_t * F.col("size") - 1e-9))
@@ -430,7 +461,7 @@ def classes(
     same = materialise(sets_of.select("id", "name").join(several, "name").where("id != rep").select("id", "rep"), "copies", sets)
 
     shingles = names.agg(F.sum("size")).first()[0] or 0
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles >> 22), 1 << 20)
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles >> 21), 1 << 20)
     smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     is_copy = (F.col("c") >= copy_t) & (F.col("ratio") <= copy_ratio)
     is_inside = (F.col("c") >= contain_t) & (F.col("ratio") > copy_ratio)
@@ -457,20 +488,58 @@ def classes(
     pairs = met.where("key is null").groupBy("a", "b", "size").agg(hit).withColumn("tried", F.col("hits") >= need)
     pairs = materialise(pairs, "pairs")
     found = verified(pairs.where("tried").select("a", "b"))
-    edges = found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = components(edges)
+    comp = components(found.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def joined(comp: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links among the pairs, and the components with them."""
+        more = verified(pairs)
+        if not more.limit(1).count():
+            return more, comp
+        edges = more.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        grown = components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges))
+        drop_tables(spark, comp)
+        return more, grown
+
+    def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs of different components, with these as x and y."""
+        for c, r in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+        return pairs.where("x != y")
+
     # Many holders of a shingle got hits in part: whatever no component joins gets the others now.
     left = met.where("key is not null").select(F.col("a").alias("id"), "key", "size", "marked")
-    apart = rest(left, comp.select(F.col("node").alias("id"), "root"), copy_ratio, buckets)
+    ends = lambda comp: comp.select(F.col("node").alias("id"), "root")
+    more = []
+    holding = left.groupBy("key").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+    if holding > HELD_AT_ONCE * shingles:
+        some = left.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FIRST)) == 0)
+        near = between(rest(some, ends(comp), copy_ratio, buckets).groupBy("a", "b").agg(hit), comp)
+        near = near.select("a", "b", "hits", F.explode(F.array("x", "y")).alias("root"))
+        order = Window.partitionBy("root").orderBy(F.desc("hits"), "a", "b")
+        near = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRIED).select("a", "b").distinct()
+        near = materialise(near, "near")
+        got, comp = joined(comp, near)
+        more.append(got)
+        drop_tables(spark, near)
+    apart = rest(left, ends(comp), copy_ratio, buckets)
     apart = apart.withColumn("tried", F.lit(False)).union(pairs.select("a", "b", "size", "hits", "tried"))
     apart = apart.groupBy("a", "b", "size").agg(hit, F.max("tried").alias("tried")).where(~F.col("tried") & (F.col("hits") >= need))
-    apart = materialise(apart.select("a", "b"), "apart", met, pairs)
-    more = verified(apart)
-    if more.limit(1).count():
-        edges = more.where(is_copy).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        before = comp
-        comp = components(before.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges))
-        drop_tables(spark, before)
+    order = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy(F.desc(F.col("hits") / F.col("size")), "a", "b")
+    apart = between(apart.select("a", "b", "size", "hits"), comp).select("a", "b", F.row_number().over(order).alias("k"))
+    apart = materialise(apart, "apart", met, pairs)
+    several = apart.count() > CHECKED_AT_ONCE * names.count()
+    for most in ROUNDS if several else ROUNDS[-1:]:
+        now = apart if most is None else apart.where(F.col("k") <= most)
+        got, comp = joined(comp, now.select("a", "b"))
+        more.append(got)
+        if most is None:
+            break
+        before = apart
+        apart = materialise(between(apart.where(F.col("k") > most), comp).select("a", "b", "k"), "apart", before)
+        if not apart.limit(1).count():
+            break
+    drop_tables(spark, apart)
+    more = materialise(reduce(DataFrame.union, more).distinct(), "more", *more)
     sized = names.select("id", "size").join(comp.select(F.col("node").alias("id"), "root"), "id", "left")
     sized = sized.withColumn("root", F.coalesce("root", "id"))
     best = sized.groupBy("root").agg(F.max(F.struct("size", (-F.col("id")).alias("neg"))).alias("best"))
@@ -479,7 +548,7 @@ def classes(
     silent = member.where((F.col("id") != F.col("head")) | (F.col("size") < min_shingles))
     silent = materialise(silent.select("id", F.lit(False).alias("asks")), "silent")
     texts = src.join(same.select("id"), "id", "left_anti").join(silent, "id", "left").select("id", "text", F.coalesce("asks", F.lit(True)).alias("asks"))
-    within = materialise(containers(posted(texts, counts, buckets, container_widths), copy_ratio, contain_t), "within", apart, silent)
+    within = materialise(containers(posted(texts, counts, buckets, container_widths), copy_ratio, contain_t), "within", silent)
     inside = verified(within)
     found = materialise(found.union(more).union(inside), "links", found, more, inside, within)
     # A group's head that lies in a larger document of another group points there;

@@ -159,6 +159,42 @@ def test_near_duplicates_by_brute_force(spark, sf_dir):
     assert all(r.links >= 1 and abs(r.containment - most[r.doc_id]) < 0.4 for r in rows)
 
 
+def test_hits_leave_a_bucket_in_bounded_parts():
+    """However many pairs the holders of a shingle make, no part holds all of them; the sums are the same."""
+    n = 1500
+    ids, rows = np.arange(n, dtype=np.int64) * 3, np.arange(n)
+    parts = list(near_dedup.counted(ids, near_dedup.spans(np.tile(rows, 2), np.tile(rows + 1, 2), np.full(2 * n, n))))
+    assert len(parts) > 1 and max(len(a) for a, _, _ in parts) <= 4 * near_dedup.PORTION
+    hits = {}
+    for part in parts:
+        for a, b, k in zip(*(x.tolist() for x in part)):
+            hits[a, b] = hits.get((a, b), 0) + k
+    assert len(hits) == n * (n - 1) // 2 and set(hits.values()) == {2}
+
+
+def test_likeliest_pairs_first_lose_nothing(spark, monkeypatch):
+    """A group that grows by edits of edits, and strangers with its passage: the same classes whether pairs are taken at once or in rounds."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    held = [[word() for _ in range(120)]]
+    for _ in range(60):
+        t = list(rnd.choice(held))
+        for k in rnd.sample(range(len(t)), 5):
+            t[k] = word()
+        held.append(t)
+    held += [held[0][:30] + [word() for _ in range(60)] for _ in range(12)]
+    table = docs(spark, [" ".join(t) for t in held])
+    checked, overlaps = [], near_dedup.overlaps
+    monkeypatch.setattr(near_dedup, "overlaps", lambda d, pairs: checked.append(pairs.count()) or overlaps(d, pairs))
+    found = lambda: {(r.doc_id, r.kept_doc_id, r.links) for r in near_dedup.near_duplicates(table).collect()}
+    at_once = found()
+    checked.clear()
+    for name, value in (("HELD_AT_ONCE", 0), ("CHECKED_AT_ONCE", 0), ("ROUNDS", (1, 4, None))):
+        monkeypatch.setattr(near_dedup, name, value)
+    assert found() == at_once and len(at_once) > 50
+    assert len(checked) > 3
+
+
 def test_a_large_group_and_edited_copies(spark):
     rng = random.Random(8)
     v = vocabulary(rng, 4000)
