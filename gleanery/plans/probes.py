@@ -77,6 +77,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Customers that a task takes: a table of them may be one small file that no reader cuts, and each costs a scan.
+TASK_ROWS = 5000
+
+
+def spread(customers: DataFrame) -> DataFrame:
+    """The customers in as many partitions as their number asks for, whatever files they lie in."""
+    n = -(-customers.count() // TASK_ROWS)
+    return customers.repartition(n, "c_custkey") if n > 1 else customers
+
+
 def snippets(customers: DataFrame) -> DataFrame:
     text = F.get(F.array(*(F.lit(s) for s in SNIPPETS)), F.pmod(F.col("c_custkey"), F.lit(len(SNIPPETS))).cast("int"))
     for mark, value in (

@@ -16,7 +16,7 @@ from ..operators.python_ast import python_sources
 from ..sources import files
 from ..streaming.stream import latest_before, run_to_table, session_counts, windowed_counts
 from . import catalog as C
-from .probes import TEXTS, quoted, texts
+from .probes import TEXTS, quoted, spread, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,7 +230,7 @@ def hash_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat("c_name", F.md5("c_name"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(T.entropy(value), 6).alias("bits"))
+    return spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("id"), F.round(T.entropy(value), 6).alias("bits"))
 
 
 @query(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import time
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -19,6 +21,7 @@ from gleanery.operators import rollup as R
 from gleanery.operators.python_ast import inspect
 from gleanery.plans import catalog as C
 from gleanery.plans.probes import SNIPPETS
+from gleanery.plans.queries import QUERIES
 from gleanery.sources import files, sinks
 from gleanery.streaming import stream
 
@@ -377,3 +380,24 @@ def test_latest_before(spark):
     right = spark.createDataFrame([("a", at(3), 10.0), ("a", at(3), 11.0), ("a", at(6), 12.0), ("c", at(1), 13.0)], "k string, ts timestamp, v double")
     got = stream.latest_before(left, right, key_col="k", ts_col="ts", value_col="v")
     assert {(r.n, r.v) for r in got.collect()} == {(1, 11.0), (2, None), (3, None), (4, 11.0)}
+
+
+def _one_file(spark, tmp_path, n):
+    """A folder with a table of so many customers in a file that is read as one partition."""
+    rows = spark.range(n).selectExpr("id as c_custkey", "concat('Customer#', lpad(id, 9, '0')) as c_name")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    return str(tmp_path)
+
+
+def test_entropy_of_customers_is_spread_and_text_made_once(spark, tmp_path):
+    found = QUERIES["shannon_entropy"](spark, _one_file(spark, tmp_path, 12_000))
+    assert found.rdd.getNumPartitions() >= 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+@pytest.mark.parametrize("text", ["", "a", "aab", "héé\U0001f600\U0001f600x", "a.b$c\\d.", " \n\t ", "AaAa%"])
+def test_entropy_by_counts(spark, text):
+    n, counts = len(text), Counter(text)
+    want = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
+    got = spark.createDataFrame([(text,)], "t string").select(T.entropy(F.col("t"))).first()[0]
+    assert abs(got - want) < 1e-12
