@@ -401,3 +401,13 @@ def test_entropy_by_counts(spark, text):
     want = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
     got = spark.createDataFrame([(text,)], "t string").select(T.entropy(F.col("t"))).first()[0]
     assert abs(got - want) < 1e-12
+
+
+def test_no_sketch_for_each_value(spark):
+    """The sketch of a category is made of its different values, in an aggregation that has no value as a key."""
+    found = spark.range(20_000).selectExpr("id", "concat('c', id % 3) as category", "cast(id % 5000 as string) as value")
+    spread = R.value_spread(found)
+    assert {r["category"]: r["values"] for r in spread.collect()} == {f"c{k}": 5000 for k in range(3)}
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    keyed = [x for x in plan.splitlines() if "approx_count_distinct" in x and "keys=[" in x]
+    assert keyed and not any("value#" in x.split("keys=[")[1].split("]")[0] for x in keyed)
