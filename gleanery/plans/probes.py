@@ -88,6 +88,7 @@ def spread(customers: DataFrame) -> DataFrame:
 
 
 def snippets(customers: DataFrame) -> DataFrame:
+    customers = spread(customers)
     text = F.get(F.array(*(F.lit(s) for s in SNIPPETS)), F.pmod(F.col("c_custkey"), F.lit(len(SNIPPETS))).cast("int"))
     for mark, value in (
         ("{n}", F.col("c_custkey").cast("string")),

@@ -20,7 +20,7 @@ from gleanery.operators import detect as D
 from gleanery.operators import rollup as R
 from gleanery.operators.python_ast import inspect
 from gleanery.plans import catalog as C
-from gleanery.plans.probes import SNIPPETS
+from gleanery.plans.probes import SNIPPETS, snippets
 from gleanery.plans.queries import QUERIES
 from gleanery.sources import files, sinks
 from gleanery.streaming import stream
@@ -389,6 +389,16 @@ def _one_file(spark, tmp_path, n):
     return str(tmp_path)
 
 
+def test_customers_of_one_file_are_spread(spark, tmp_path):
+    """Each customer's snippet costs a scan: no task takes them all."""
+    held = spark.read.parquet(f"{_one_file(spark, tmp_path, 12_000)}/customer.parquet")
+    assert held.rdd.getNumPartitions() == 1
+    found = snippets(held)
+    assert found.count() == found.select("id").distinct().count() == 12_000
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 6_000
+
+
 def test_entropy_of_customers_is_spread_and_text_made_once(spark, tmp_path):
     found = QUERIES["shannon_entropy"](spark, _one_file(spark, tmp_path, 12_000))
     assert found.rdd.getNumPartitions() >= 3
